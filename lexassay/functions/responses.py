@@ -1,0 +1,272 @@
+"""Judging a response against its prompt: nothing said, refusals, copies, foreign language, cut ends.
+
+Plain functions on strings, used by operators that run them over Arrow batches.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+import unicodedata
+
+#: Shingle length in characters of folded text, least containment of shingles before alignment,
+#: least share of the response and of the prompt that their longest common subsequence covers.
+SHINGLE, CONTAINED, COPY_OF_RESPONSE, COPY_OF_PROMPT = 5, 0.6, 0.85, 0.6
+
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
+
+
+def fold(text: str) -> str:
+    """Width forms folded, invisible characters dropped, composed."""
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+
+
+def listed(text: str | None) -> list[str] | None:
+    """The items if the text is that of a JSON list of texts, else None."""
+    if not text or not (t := text.strip()).startswith("[") or not t.endswith("]"):
+        return None
+    try:
+        got = json.loads(t)
+    except ValueError:
+        return None
+    if not isinstance(got, list):
+        return None
+    out: list[str] = []
+    for x in got:
+        if isinstance(x, list):
+            out += [str(y) if y is not None else "" for y in x]
+        else:
+            out.append("" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False))
+    if got and not any(isinstance(x, str | list) or x is None for x in got):
+        return None  # an interval such as [3, 5]
+    return out
+
+
+# --- empty ---------------------------------------------------------------------------------------
+
+_NOTHING = re.compile(r"[\s\-–—―‐‑−_~.。·•…⋯,、;:*/|\\#()\[\]{}（）【】]*")
+_NOTE = re.compile(
+    r"(?:(?:本题|此题|答案|解答|解析|过程|answer|solution)s?\s*(?::|is|was|are)?\s*)?"
+    r"(?:略去?|省略|从略|(?:过程|解析|答案|解答|证明)?略|无|暂无|暂缺|空缺|缺|没有|未提供|未给出|待补充?|暂无(?:答案|解答|解析)|无(?:答案|解答|解析)|不详|同上略"
+    r"|n\s*/\s*a|n\.a\.?|none|null|nil|nan|omitted|left out|not (?:available|provided|given)|unavailable|missing|tba|tbd|no (?:answer|solution)s?(?: (?:available|provided|given))?)",
+    re.I,
+)
+
+
+def is_nothing(text: str | None) -> bool:
+    """Nothing visible, only dashes and dots, or a mere note that the text is left out."""
+    if not text:
+        return True
+    t = fold(text) if len(text) < 200 else text
+    if len(t) > 200:
+        return bool(_NOTHING.fullmatch(t))
+    if _NOTHING.fullmatch(t):
+        return True
+    t = re.sub(r"^[\s()\[\]【】<>\"'“”.。:,-]+|[\s()\[\]【】<>\"'“”.。:,!-]+$", "", t)
+    return bool(_NOTE.fullmatch(t))
+
+
+# --- refusal -------------------------------------------------------------------------------------
+
+_CLAUSE = re.compile(r"[,，。.;；!！?？\n]+")
+_APOLOGY = re.compile(r"(?:很|非常|十分|实在)?(?:抱歉|对不起|不好意思|遗憾)|sorry|i(?: am|'m) (?:so |very |really )?(?:sorry|afraid)|unfortunately|apolog|regret|but$", re.I)
+_DECLINE = re.compile(
+    r"恕不|恕我|恕难|(?:不便|不宜|不能|无法|没有办法|没办法|难以|拒绝|暂不|不予|不可以|不会|不再).{0,8}(?:作答|回答|解答|答复|提供|给出|答案|结果|处理|完成|讨论|帮助|协助|回应)"
+    r"|(?:建议|请|可以)(?:您|你)?(?:直接)?(?:咨询|请教|询问|联系).{0,8}(?:老师|教师|专家|人士)|跳过(?:此|这道|本)题"
+    r"|(?:cannot|can ?not|can't|could not|couldn't|unable to|not able to|won't|will not|would not|rather not|prefer not to|do not|don't|declines? to|refuses? to|not allowed to|not permitted to).{0,40}?(?:answer|help|solve|provide|give|assist|respond|response|discuss|compl|do this|result|address)"
+    r"|beyond what (?:i|we) (?:can|may|could|am able)|no (?:response|answer|solution|help) (?:can|could|will) be (?:offered|given|provided)|better to (?:put|ask|take|refer)|please (?:ask|consult|see|contact) (?:a|your|the) (?:teacher|tutor|instructor|expert)",
+    re.I,
+)
+_REASON = re.compile(
+    r"(?:因为|由于|鉴于|根据|按照)|(?:题目|图|图片|材料|信息|内容|配图|问题|原图).{0,10}(?:不全|缺|不清|超出|不足|丢失|看不)|超出.{0,6}范围|看不清"
+    r"|because|without|outside|beyond|as it is|as a|as an|scope|missing|original passage|since|due to|according to the",
+    re.I,
+)
+_ADVICE = re.compile(r"请.{0,6}(?:换|联系|重新|稍后|再试|咨询|补充|上传)|再试|联系老师|try (?:another|again)|please (?:ask|try|contact|provide|upload|resend|check)|ask (?:a|your) teacher|another question", re.I)
+
+
+def is_refusal(text: str) -> bool:
+    """The text aligns with the refusal template: apology, reason, decline, advice, and hardly anything else."""
+    if len(text) > 600:
+        return False
+    t = fold(text).replace("’", "'")
+    if not _DECLINE.search(t) and not _APOLOGY.search(t):
+        return False
+    total = other = 0
+    declined = sorry = reason = False
+    for clause in _CLAUSE.split(t):
+        n = len(clause.strip())
+        if not n:
+            continue
+        total += n
+        if _DECLINE.search(clause):
+            declined = True
+        elif _APOLOGY.search(clause):
+            sorry = True
+        elif _ADVICE.search(clause):
+            pass
+        elif _REASON.search(clause):
+            reason = True
+        else:
+            other += n
+    return (declined or (sorry and reason)) and other <= 0.34 * total
+
+
+# --- copy ----------------------------------------------------------------------------------------
+
+
+def bare(text: str) -> str:
+    """Letters and figures of a folded text, lower case."""
+    return "".join([c for c in text.lower() if c.isalnum()])
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel."""
+    if len(a) > len(b):
+        a, b = b, a
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        m = row & where.get(c, 0)
+        row = (row + m | row - m) & full
+    return len(a) - row.bit_count()
+
+
+def shingles(text: str, k: int = SHINGLE) -> set[str]:
+    return {text[i : i + k] for i in range(len(text) - k + 1)}
+
+
+def is_copy(response: str, prompt: str, prompt_shingles: set[str] | None = None) -> bool:
+    """The bare response repeats the bare prompt, or most of it, and adds next to nothing."""
+    if len(response) < 8 or len(response) < COPY_OF_PROMPT * len(prompt) or len(prompt) < COPY_OF_RESPONSE * len(response):
+        return False
+    if response == prompt:
+        return True
+    own = shingles(response)
+    if len(own & (prompt_shingles if prompt_shingles is not None else shingles(prompt))) < CONTAINED * len(own):
+        return False
+    common = common_subsequence(response, prompt)
+    return common >= COPY_OF_RESPONSE * len(response) and common >= COPY_OF_PROMPT * len(prompt)
+
+
+# --- language ------------------------------------------------------------------------------------
+
+# Frequent function words by language.
+WORDS = {
+    "en": "the of and to in is was were that it for with than near this which who but not are be by from at on as have has had they she he we you their so because if when".split(),
+    "de": "der die das und ein eine einen einem eines einer von vom im den dem des ist nicht mit auf aus für sich zeigt um wird am zu zur zum bei nach über auch sind war wurde".split(),
+    "fr": "le la les des est une un que du au aux et dans sur pour par pas ne se ce cette qui ont sont était avec on plus à l d".split(),
+    "es": "el la los las de que y en un una por con no se del al es para como más su lo fue son está".split(),
+    "it": "il lo la gli le di che e un una per con non si del della al è sono nel nella più come questo".split(),
+    "pt": "o a os as de que e em um uma por com não se do da ao é para como mais dos das na no foi são".split(),
+}
+_WORD_LANGS: dict[str, list[str]] = {}
+for _lang, _words in WORDS.items():
+    for _w in _words:
+        _WORD_LANGS.setdefault(_w, []).append(_lang)
+_SCRIPT = re.compile(r"(?P<han>[㐀-鿿豈-\ufaff]+)|(?P<kana>[ぁ-ヿ]+)|(?P<ko>[가-\ud7afᄀ-ᇿ]+)|(?P<cyr>[Ѐ-ԯ]+)|(?P<ar>[\u0600-ۿ]+)|(?P<dev>[\u0900-ॿ]+)|(?P<el>[Ͱ-Ͽ]+)|(?P<th>[\u0e00-\u0e7f]+)|(?P<he>[\u0590-\u05ff]+)|(?P<lat>[A-Za-zÀ-ɏ]+)")
+_MATH = re.compile(r"\$[^$]*\$|\\[A-Za-z]+")
+_ASKS_LANGUAGE = re.compile(r"translat|\bin(?:to)?\s+(?:simple\s+)?(?:chinese|english|french|german|japanese|russian|spanish|korean|italian|latin)\b|译|用(?:英|中|汉|法|德|日|俄)(?:语|文)|翻成|英文(?:作答|回答)|(?:french|german|english|chinese|japanese) version", re.I)
+
+
+def language(text: str, least_words: int = 4, least_han: int = 10) -> str | None:
+    """Language of running text, or None if the text is too short or not running text."""
+    if text.isascii() and len(text) < 20:
+        return None
+    text = _MATH.sub(" ", text) if "$" in text or "\\" in text else text
+    n = dict.fromkeys(("han", "kana", "ko", "cyr", "ar", "dev", "el", "th", "he", "lat"), 0)
+    words: list[str] = []
+    for m in _SCRIPT.finditer(text):
+        n[m.lastgroup] += m.end() - m.start()
+        if m.lastgroup == "lat":
+            if m.end() - m.start() > 1:
+                words.append(m[0])
+    top = max(n, key=n.get)
+    if n["kana"] >= 4 and n["kana"] * 5 >= n["han"] and n["kana"] + n["han"] >= n["lat"]:
+        return "ja"
+    if top == "lat":
+        if len(words) < least_words:
+            return None
+        score: dict[str, int] = {}
+        for w in words:
+            for lang in _WORD_LANGS.get(w.lower(), ()):
+                score[lang] = score.get(lang, 0) + 1
+        if not score:
+            return None
+        best = max(score, key=lambda k: (score[k], k == "en"))
+        return best if score[best] >= 2 or len(words) >= 8 and score[best] >= 1 else None
+    if top == "han":
+        return "zh" if n["han"] >= least_han and (n["han"] >= 16 or re.search(r"[,，。.!！?？;；:：]", text)) else None
+    return top if n[top] >= 10 else None
+
+
+def asks_language(prompt: str) -> bool:
+    return bool(_ASKS_LANGUAGE.search(prompt))
+
+
+# --- cut end -------------------------------------------------------------------------------------
+
+_COMPLETE = re.compile(r"[.。!?！？…؟।\])）】}》」』”\"'’$][\s\"”’」』)）】》\]]*\Z")
+_CLOSING = re.compile(
+    r"(?:(?:故|因此|所以|应)?(?:本题)?(?:选|答案)(?:择|为|是|应为)?|answer(?: is|s are)?|choose|option|is (?:right|correct)|(?:it|result) is|答|解)\s*[::为是]?\s*(?:[A-HＡ-Ｈ](?:[\s,、和]*[A-H])*|[√×✓✗TF]|正确|错误|对|错|true|false|[-+]?[\d.,/]+\w{0,4})\s*\Z|(?:is|are) (?:right|correct|true|false)\Z",
+    re.I,
+)
+_PIECES = re.compile(r"[,，、;；:：.。!！?？\n\t|#/()（）\d]+")
+_HAN = re.compile(r"[㐀-鿿]")
+_LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]{2,}")
+_LAST_LETTER = re.compile(r"[^\W_]\s*\Z|[,，、;；:：(（\[【“‘「《\-]\s*\Z")
+#: Values such as numbers with a unit, letters, ticks.
+_VALUE = re.compile(r"(?:[(（]?\d+[)）.、]?\s*)?(?:[A-Ha-h√×✓✗]|[TF]|true|false|yes|no|正确|错误|对|错|[-+]?[\d.,/%:]+\s*[\w/%°℃²³µΩÅ]{0,6}|[^\W\d_]{1,7})", re.I)
+SUBJECTIVE = ("解答题", "材料分析题", "翻译题", "作文", "论述题", "简答题", "证明题", "计算题", "实验题", "阅读题")
+
+
+def is_cut(text: str, prose: bool) -> bool:
+    """The text stops inside a word or sentence.  ``prose``: sentences are expected here."""
+    t = fold(text).strip()
+    if not t or _COMPLETE.search(t) and not t.endswith("$"):
+        return _open_end(t) if t else False
+    tail = t[-80:]
+    if _CLOSING.search(tail):
+        return False
+    if t.endswith("$"):
+        return prose and _open_end(t)
+    if not _LAST_LETTER.search(t):
+        return False
+    if prose:
+        return not _VALUE.fullmatch(t)
+    # among values only a run of words longer than any value is prose
+    return any(len(_HAN.findall(x)) >= 10 or len(_LATIN_WORD.findall(x)) >= 6 for x in _PIECES.split(t)[-2:])
+
+
+def _open_end(t: str) -> bool:
+    """A formula left open."""
+    return t.count("$") % 2 == 1
+
+
+def defect(prompt: str | None, items: list[str | None] | None, prose: bool) -> str | None:
+    """The one defect of a response, given as its items, or None.
+
+    ``items`` None or without anything visible: ``empty``.  A null or empty prompt can neither be
+    copied nor set the language.
+    """
+    filled = [x for x in items or [] if not is_nothing(x)]
+    if not filled:
+        return "empty"
+    whole = "\n".join(filled)
+    if is_refusal(whole):
+        return "refusal"
+    if prompt:
+        folded_prompt, folded = fold(prompt), fold(whole)
+        if len(whole) >= 8 and len(whole) >= 0.4 * len(prompt) and is_copy(bare(folded), bare(folded_prompt)) and not ((m := _CLOSING.search(folded.rstrip(" .。!\n")[-60:])) and m[0].strip() not in folded_prompt):
+            return "copy"
+        lang = language(folded)
+        if lang and (own := language(folded_prompt)) and own != lang and not asks_language(folded_prompt):
+            return "language"
+    if is_cut(filled[-1], prose):
+        return "truncated"
+    return None

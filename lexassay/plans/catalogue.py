@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexassay.operators import multivalue
+from lexassay.sources.tables import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return multivalue.answer_values(table(spark, folder, "questions"))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {"p2_found": p2_found}
 
 
 def oracle_sql() -> dict[str, str]:
