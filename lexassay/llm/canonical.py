@@ -69,13 +69,13 @@ def _fold_char(c: str) -> str:
     cat = unicodedata.category(c)
     if c in _FIXED:
         return _FIXED[c]
-    if (cat == "Cf" and not 0x600 <= ord(c) <= 0x605 and c not in "۝܏࣢ᄋdᄌd") or c in INVISIBLE_EXTRA:
+    if (cat == "Cf" and not 0x600 <= ord(c) <= 0x605 and c not in "\u06dd\u070f\u08e2ᄋdᄌd") or c in INVISIBLE_EXTRA:
         return ""
     if 0xFE00 <= ord(c) <= 0xFE0F or 0xE0000 <= ord(c) <= 0xE0FFF:
         return ""
     if cat == "Cc" and c not in "\t\n":
         return ""
-    if cat == "Zs" and c != " ":
+    if cat == "Zs" and c != "\u1680":
         return " "
     d = unicodedata.decomposition(c)
     if d.startswith("<"):

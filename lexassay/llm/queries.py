@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexassay.sources.tables import table
 
-from . import canonical, sentences
+from . import canonical, pairs, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "questions"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defective_responses(table(spark, folder, "questions"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,7 +35,7 @@ CONTEXT = 96
 # Abbreviations that never close a sentence, and those that may.
 INNER = "Mr Mrs Ms Messrs Dr Prof Capt Col Gen Lt Sgt Rev Hon Pres Gov Sen Rep St Mt Ft Fig Figs No Nos Vol Vols Ver Dept Sec Sect Ch Chap Art Eq Ex Exs Ed Eds Tab Ref Refs pp p ed eds vs cf eg ie approx incl excl viz al resp ca env z.B d.h bzw c.-à-d p.ex М М-р г-н г-жа т.е т.к т.н напр см".split()
 CLOSING = "a.m p.m A.M P.M etc Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Inc Ltd Co Corp Jr Sr Ph.D M.D B.A M.A U.S U.K U.N B.C A.D Ave Rd Blvd usw т.д т.п др г гг".split()
-MARKS = ".。!?؟۔।॥።։‼⁇⁈⁉〪჻។៕။༎᙮"
+MARKS = ".。!?؟۔।॥።։‼⁇⁈⁉\u302a჻។៕။༎᙮"
 #: Quotation kinds: opening sign, closing sign.  The last kind is a title: words always go on after it.
 QUOTES = (("“", "”"), ("「", "」"), ("『", "』"), ("«", "»"), ("„", "“"), ("‘", "’"), ('"', '"'), ("《", "》"), ("〈", "〉"))
 TITLES = (7, 8)
@@ -45,7 +45,7 @@ LABELS, INSIDE = 0, 1
 N_STATES = 2 + 2 * len(QUOTES)
 
 
-_CJK = "⺀-⿿぀-ヿ㐀-鿿가-힯豈-﫿\U00020000-\U0003ffff"
+_CJK = "⺀-⿿\u3040-ヿ㐀-鿿가-\ud7af豈-\ufaff\U00020000-\U0003ffff"
 _SCAN = re.compile(rf"\.{{2,}}|\.(?![0-9A-Za-z])|[\n$“”‘’「」『』«»„\"《》〈〉{re.escape(MARKS[1:])}]")
 _RUN = re.compile(f"[{re.escape(MARKS)}]+")
 _FORMULA = re.compile(r"\$[^$\n]{1,4000}\$")
