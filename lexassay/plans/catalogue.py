@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexassay.operators import multivalue
+from lexassay.operators import multivalue, nested
 from lexassay.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return multivalue.answer_values(table(spark, folder, "questions"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.call_entities(table(spark, folder, "service_log"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
