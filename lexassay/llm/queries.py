@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexassay.sources.tables import table
 
-from . import canonical, pairs, sentences
+from . import canonical, leakage, pairs, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.defective_responses(table(spark, folder, "questions"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
