@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexassay.sources.tables import table
 
-from . import canonical, leakage, pairs, sentences
+from . import canonical, leakage, mixture, pairs, sentences, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,8 +29,25 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return mixture.mixture(documents, mixture.plan(documents, table(spark, folder, "mix_targets")))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.shares(spark, mixture.plan(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_documents(table(spark, folder, "documents"))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
