@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from lexassay.operators import multivalue, nested
 from lexassay.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import corpus_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL, Query, query
+
+FLAGSHIP = "symbol_confusion"
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+@query()
+def p2_found(spark, folder):
     return multivalue.answer_values(table(spark, folder, "questions"))
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+@query()
+def p4_found(spark, folder):
     return nested.call_entities(table(spark, folder, "service_log"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p4_found": p4_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
