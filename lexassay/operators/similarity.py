@@ -82,23 +82,20 @@ def character_similarity(pairs: DataFrame, meta: DataFrame) -> DataFrame:
     return j.select("a", "b", F.round(sim, 6).alias("similarity"))
 
 
-def near_texts(texts: DataFrame, key: str, text: str, ratio: float = 0.1, head: int = 20) -> DataFrame:
-    """Pairs of *different* texts with ``2 * distance / (length + length) <= ratio`` that share their first
-    or last ``head`` characters.
+def similar_candidates(texts: DataFrame, candidate: str, key: str, text: str, ratio: float = 0.1) -> DataFrame:
+    """Of texts with the same ``candidate`` key the pairs with ``2 * distance / (length + length) <= ratio``.
 
-    Equal texts are one class: the pairs are between class representatives (least id), so copies are not
-    expanded; ``near_members`` gives the membership.  The two blocking keys are hashed; a length band is
-    tested before the distance, and the distance itself stops above its bound.
+    The candidate key is given with the data (the id a question was sent under, say); no pair that shares it
+    is lost.  Equal texts are one class: pairs are between class representatives (least id), so copies are
+    not expanded, and a key that repeats one text many times is one row before the join; ``near_members``
+    gives the membership.  Null keys and null texts are no candidates.
     """
-    reps = texts.where(F.length(text) >= head).groupBy(F.col(text).alias("t")).agg(F.min(key).alias("id"))
-    n = F.length("t")
-    keys = F.array(F.struct(F.lit(0).alias("side"), F.substring("t", 1, head).alias("part")), F.struct(F.lit(1).alias("side"), F.substring(F.col("t"), n - head + 1, F.lit(head)).alias("part")))
-    k = reps.select("id", "t", n.alias("n"), F.explode(keys).alias("k")).select("id", "t", "n", F.xxhash64("k.side", "k.part").alias("h"))
-    a, b = k.alias("a"), k.alias("b")
-    bound = F.floor((F.col("a.n") + F.col("b.n")) * ratio / 2)
-    close = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.abs(F.col("a.n") - F.col("b.n")) <= bound))
-    d = F.levenshtein(F.col("a.t"), F.col("b.t"))
-    return close.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), d.alias("distance"), bound.alias("bound")).where("distance <= bound").select("id_a", "id_b", "distance").distinct()
+    reps = texts.where(F.col(candidate).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(candidate).alias("c"), F.col(text).alias("t")).agg(F.min(key).alias("id"))
+    r = reps.withColumn("n", F.length("t"))
+    a, b = r.alias("a"), r.alias("b")
+    bound = (F.col("a.n") + F.col("b.n")) * ratio / 2
+    close = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.id") < F.col("b.id")) & (F.abs(F.col("a.n") - F.col("b.n")) <= bound))
+    return close.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.levenshtein(F.col("a.t"), F.col("b.t")).alias("distance"), bound.alias("bound")).where("distance <= bound").select("id_a", "id_b", "distance")
 
 
 def near_members(texts: DataFrame, key: str, text: str) -> DataFrame:

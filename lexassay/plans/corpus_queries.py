@@ -80,17 +80,15 @@ def ngram_overlap(spark, folder):
 
 
 def _bleu_sql() -> str:
-    def grams(t: str, k: int) -> str:
-        return f"list_transform(range(1, greatest(len({t}) - {k - 1}, 0) + 1), lambda i: array_to_string({t}[i:i + {k - 1}], ' '))"
-
     tok = "list_transform(regexp_extract_all({}, '[A-Za-z]+|[0-9]+|[一-鿿]'), lambda x: lower(x))"
-    counts = []
+    parts = []
     for k in range(1, 5):
-        counts.append(f"list_sum(list_transform(list_distinct({grams('h', k)}), lambda x: least(len(list_filter({grams('h', k)}, lambda y: y = x)), len(list_filter({grams('r', k)}, lambda y: y = x))))) AS m{k}, len({grams('h', k)}) AS c{k}")
-    sums = ", ".join(f"sum(m{k})::BIGINT AS m{k}, sum(c{k})::BIGINT AS c{k}" for k in range(1, 5))
+        for t in "rh":
+            parts.append(f"g{t}{k} AS (SELECT row_id, array_to_string({t}[i:i + {k - 1}], chr(1)) AS g, count(*) AS c FROM (SELECT *, unnest(range(1, len({t}) - {k - 1} + 1)) AS i FROM p WHERE len({t}) >= {k}) GROUP BY ALL)")
+        parts.append(f"s{k} AS (SELECT (SELECT coalesce(sum(least(a.c, b.c)), 0)::BIGINT FROM gh{k} a JOIN gr{k} b USING (row_id, g)) AS m{k}, (SELECT sum(c)::BIGINT FROM gh{k}) AS c{k})")
     logs = " + ".join(f"ln(m{k} / c{k})" for k in range(1, 5))
-    return f"""WITH p AS (SELECT {tok.format("query.solutions[1]")} AS r, {tok.format("query.description")} AS h FROM questions WHERE query.description IS NOT NULL AND query.solutions[1] IS NOT NULL),
-x AS (SELECT len(r) AS r, len(h) AS h, {", ".join(counts)} FROM p), s AS (SELECT sum(r)::BIGINT AS r, sum(h)::BIGINT AS h, {sums} FROM x)
+    return f"""WITH p AS (SELECT row_id, {tok.format("query.solutions[1]")} AS r, {tok.format("query.description")} AS h FROM questions WHERE query.description IS NOT NULL AND query.solutions[1] IS NOT NULL),
+{", ".join(parts)}, n AS (SELECT sum(len(r))::BIGINT AS r, sum(len(h))::BIGINT AS h FROM p), s AS (SELECT * FROM n, s1, s2, s3, s4)
 SELECT *, round(CASE WHEN m1 = 0 OR m2 = 0 OR m3 = 0 OR m4 = 0 THEN 0.0 ELSE 100 * least(1.0, exp(1 - r / h)) * exp(({logs}) / 4) END, 6) AS score FROM s"""
 
 
@@ -157,6 +155,10 @@ def spell_suggest_top1(spark, folder):
     return dictionary.suggestions(w, v)
 
 
+def _candidate_texts(spark, folder) -> DataFrame:
+    return table(spark, folder, "questions").select("row_id", F.col("query._id").alias("_id"), F.col("query.description").alias("text"))
+
+
 def _short_texts(spark, folder) -> DataFrame:
     return table(spark, folder, "questions").select("row_id", F.col("query.description").alias("text")).where("length(text) >= 20")
 
@@ -164,7 +166,7 @@ def _short_texts(spark, folder) -> DataFrame:
 # DuckDB measures distances in bytes: tested against brute force instead.
 @query()
 def near_dup_pairs(spark, folder):
-    return similarity.near_texts(_short_texts(spark, folder), "row_id", "text")
+    return similarity.similar_candidates(_candidate_texts(spark, folder), "_id", "row_id", "text")
 
 
 @query("SELECT row_id, min(row_id) OVER (PARTITION BY query.description) AS class_id FROM questions WHERE length(query.description) >= 20")
