@@ -228,6 +228,8 @@ SUBJECTIVE = ("解答题", "材料分析题", "翻译题", "作文", "论述题"
 def is_cut(text: str, prose: bool) -> bool:
     """The text stops inside a word or sentence.  ``prose``: sentences are expected here."""
     t = fold(text).strip()
+    if t and (_HANGING.search(t[-24:]) and not _CLOSING.search(t[-60:].rstrip(".")) or _open_quote(t)):
+        return True
     if not t or _COMPLETE.search(t) and not t.endswith("$"):
         return _open_end(t) if t else False
     tail = t[-80:]
@@ -243,6 +245,16 @@ def is_cut(text: str, prose: bool) -> bool:
     return any(len(_HAN.findall(x)) >= 10 or len(_LATIN_WORD.findall(x)) >= 6 for x in _PIECES.split(t)[-2:])
 
 
+#: Abbreviations and initials that no sentence closes with.
+_HANGING = re.compile(r"(?<![^\W_])(?:Mrs?|Ms|Dr|Prof|Capt|St|No|Fig|Figs|Vol|Dept|Sec|ed|vs|cf|e\.g|i\.e|approx|incl|pp?|Jan|Feb|Aug|Sept?|Oct|Nov|Dec|Ver|(?:[A-Z]\. ?)+[A-Z]|(?<=[.!?] )[A-Z])\.\Z")
+
+
+def _open_quote(t: str) -> bool:
+    """The last sentence opens a quotation, a title or a bracket and does not close it."""
+    line = t[t.rfind("\n") + 1 :]
+    return any(line.rfind(a) > line.rfind(b) for a, b in (("\u201c", "\u201d"), ("《", "》"), ("「", "」"))) or (line.count('"') % 2 == 1 and '"' in line and not line.endswith('"'))
+
+
 def _open_end(t: str) -> bool:
     """A formula left open."""
     return t.count("$") % 2 == 1
