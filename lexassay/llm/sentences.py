@@ -66,6 +66,10 @@ _OPEN_BRACKET = re.compile(r"[\[(【][^\])】]*\Z")
 _INITIAL_NEXT = re.compile(r"\s+[^\W\d_]")
 _ANSWER_BEFORE = re.compile(r"(?:choose|pick|select|answer|is|are|option|[::选为是])\s*\Z", re.I)
 
+#: German ordinal numbers: the point after a figure does not end the sentence.
+_ORDINAL = re.compile(r"(?<![^\W\d_])(?:[Aa]m|[Vv]om|[Bb]is|[Zz]um|[Zz]ur|[Dd]e[rnm]|[Dd]ie|[Dd]as|[Ii]m)\s\d{1,2}\Z")
+_LOOKALIKE = {ord(a): b for x, y in LOOKALIKES.values() for a, b in zip(x, y)}
+
 _fold: dict[int, str] = {}
 for _lo, _hi in RANGES:
     for _cp in range(_lo, _hi):
@@ -111,14 +115,20 @@ def _events(s: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
             while j > 0 and (s[j - 1].isalpha() or s[j - 1] == ".") and not _CJK_RE.match(s[j - 1]):
                 j -= 1
             word = s[j:a]
+            if not word.isascii():
+                word = word.translate(_LOOKALIKE)
             if word and (j == 0 or s[j - 1] not in "'’"):
                 if word in _INNER_SET:
                     continue
                 if word in _CLOSING_SET or ("." in word and all(len(x) == 1 for x in word.split("."))):
                     if not _STARTS_NEW.match(s, b):
                         continue
-                elif len(word) == 1 and nxt.isspace() and _INITIAL_NEXT.match(s, b) and not _ANSWER_BEFORE.search(s, max(0, j - 12), j):
+                elif len(word) == 1 and _GOES_ON.match(s, b):
+                    continue
+                elif len(word) == 1 and word.isupper() and nxt.isspace() and _INITIAL_NEXT.match(s, b) and not _ANSWER_BEFORE.search(s, max(0, j - 12), j):
                     continue
+            elif not word and nxt.isspace() and _ORDINAL.search(s, max(0, a - 10), a):
+                continue
             if nxt in MARKS:
                 b = _RUN.match(s, a).end()
             out.append((1, a, b))
