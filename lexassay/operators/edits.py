@@ -163,3 +163,32 @@ def character_spans(tokens: Column, edit_list: Column) -> Column:
         return F.length(head) + F.when(i > 0, 1).otherwise(0)
 
     return F.transform(edit_list, lambda e: F.struct(offset(e["start"]).alias("start_at"), F.greatest(offset(e["end"]) - F.when(e["end"] > e["start"], 1).otherwise(0), offset(e["start"])).alias("end_at"), e["type"].alias("type"), e["cor"].alias("cor")))
+
+
+def messages(tokens: Column, edit_list: Column) -> Column:
+    """A sentence for each edit: what to insert, delete or replace, and where."""
+
+    def one(e: Column) -> Column:
+        old = F.array_join(F.slice(tokens, e["start"] + 1, e["end"] - e["start"]), " ")
+        before = F.when(e["start"] > 0, F.concat(F.lit("after "), F.get(tokens, e["start"] - 1))).otherwise(F.lit("at the start"))
+        return (
+            F.when(e["start"] == e["end"], F.concat(F.lit("insert "), e["cor"], F.lit(" "), before))
+            .when(F.length(e["cor"]) == 0, F.concat(F.lit("delete "), old))
+            .otherwise(F.concat(F.lit("replace "), old, F.lit(" with "), e["cor"]))
+        )
+
+    return F.transform(edit_list, one)
+
+
+def operation_runs(ops: DataFrame, key: str, by_type: bool) -> DataFrame:
+    """Runs of alignment operations ``key, pos, op`` other than matches, by gaps and islands.
+
+    ``by_type``: a change of operation ends a run; else only a match does.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("pos")
+    kind = F.col("op") if by_type else F.when(F.col("op") == "M", "M").otherwise("x")
+    o = ops.withColumn("_k", kind)
+    o = o.withColumn("_run", F.sum(F.coalesce((F.lag("_k").over(w) != F.col("_k")).cast("int"), F.lit(0))).over(w))
+    return o.where("op <> 'M'").groupBy(key, "_run").agg(F.min("pos").alias("start_at"), (F.max("pos") + 1).alias("end_at"), F.count("*").alias("n")).drop("_run")

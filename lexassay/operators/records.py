@@ -105,3 +105,39 @@ def spelling_gate(requests: DataFrame) -> DataFrame:
     s = requests.select("req_id", F.posexplode("query").alias("pos", "sentence")).where(F.col("sentence").isNotNull())
     s = s.select("req_id", "pos", F.trim("sentence").alias("sentence"))
     return s.where((F.length("sentence") > 10) & (F.length("sentence") < 100))
+
+
+def blank_matches(questions: DataFrame) -> DataFrame:
+    """Blank questions with answers that no solution contains: ``row_id, values, missing``.
+
+    Values are split at ``; ；`` and line breaks; white space does not count.
+    """
+    q = F.col("query")
+    bare = lambda c: F.regexp_replace(c, "[ \t\n\r]", "")
+    c = questions.where((q["type"] == BLANK) & q["answers"].isNotNull() & (F.size(q["solutions"]) > 0))
+    c = c.select("row_id", F.filter(F.transform(F.split(q["answers"], "[;；\n]"), bare), lambda v: v != "").alias("v"), bare(F.array_join(q["solutions"], "")).alias("s"))
+    n = F.size(F.filter("v", lambda v: ~F.col("s").contains(v)))
+    return c.select("row_id", F.size("v").alias("values"), n.alias("missing")).where("missing > 0")
+
+
+def bracketed_matches(questions: DataFrame) -> DataFrame:
+    """``row_id, items, found``: bracketed parts of a description and how many of them a solution repeats."""
+    q = F.col("query")
+    parts = F.array_distinct(F.regexp_extract_all(q["description"], F.lit("[（(]([^（()）]+)[）)]"), F.lit(1)))
+    c = questions.where(q["description"].isNotNull() & (F.size(q["solutions"]) > 0)).select("row_id", parts.alias("p"), F.array_join(q["solutions"], "\n").alias("s")).where(F.size("p") > 0)
+    return c.select("row_id", F.size("p").alias("items"), F.size(F.filter("p", lambda x: F.col("s").contains(x))).alias("found"))
+
+
+def choice_evidence(questions: DataFrame) -> DataFrame:
+    """How a solution supports a one-letter answer: ``row_id, evidence``, the first that holds.
+
+    ``named`` the letter is chosen by a closing phrase, ``text`` the option's text appears, ``letter`` the letter
+    appears, ``none``.
+    """
+    q = F.col("query")
+    c = questions.where((q["type"] == CHOICE) & q["answers"].rlike("^[A-F]$") & (F.size(q["solutions"]) > 0) & (F.size(q["stems"]) > 0))
+    s = F.array_join(q["solutions"], "\n")
+    option = F.try_element_at(F.get(q["stems"], F.lit(0))["options"], q["answers"])
+    c = c.select("row_id", q["answers"].alias("a"), s.alias("s"), option.alias("o"))
+    found = F.when(chosen(F.col("s")) == F.col("a"), "named").when(F.col("o").isNotNull() & F.col("s").contains(F.col("o")), "text").when(F.col("s").contains(F.col("a")), "letter").otherwise("none")
+    return c.select("row_id", found.alias("evidence"))

@@ -28,3 +28,21 @@ def without_neighbours(errors: DataFrame, key: str) -> DataFrame:
 def ensemble(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Log of the mean probability over models (``log_p``)."""
     return scores.groupBy(*keys).agg(F.log(F.avg(F.exp("log_p"))).alias("log_p"))
+
+
+def best_subset(scores: DataFrame, key: str, gain: float = 0.02) -> DataFrame:
+    """Of the scored subsets of a sentence's edits (``key, mask, score``, mask 0 unedited, lower is better) the best
+    if it beats the unedited sentence by more than ``gain`` relative, else mask 0."""
+    w = Window.partitionBy(key).orderBy("score", "mask")
+    base = scores.where("mask = 0").select(key, F.col("score").alias("_base"))
+    best = scores.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").join(base, key)
+    better = (F.col("_base") - F.col("score")) / F.abs("_base") > gain
+    return best.select(key, F.when(better, F.col("mask")).otherwise(0).alias("mask"))
+
+
+def beam_step(hypotheses: DataFrame, expansions: DataFrame, key: str, beam: int) -> DataFrame:
+    """One step of beam search: ``key, hyp, score`` joined with next-token scores ``key, hyp, token, log_p``; the
+    best ``2 * beam`` continuations of each key."""
+    w = Window.partitionBy(key).orderBy(F.col("score").desc(), "hyp", "token")
+    j = hypotheses.join(expansions, [key, "hyp"]).withColumn("score", F.col("score") + F.col("log_p")).drop("log_p")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2 * beam)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexassay.operators import cleaning, corpus, dictionary, edits, records, scorers, similarity
+from lexassay.functions import latex
+from lexassay.operators import cleaning, corpus, dictionary, edits, records, rules, scorers, similarity, tokenizing
+from lexassay.operators.sections import question_sections
 from lexassay.sources.tables import table
 
 from .registry import query
@@ -461,3 +463,49 @@ def reported_share(spark, folder):
     q = table(spark, folder, "questions").select(F.col("query._id").cast("bigint").alias("id")).where("id is not null").distinct()
     r = table(spark, folder, "reports").select(F.col("_id").alias("id")).distinct().withColumn("hit", F.lit(1))
     return q.join(r, "id", "left").agg(F.count("*").alias("questions"), F.count("hit").alias("reported"))
+
+
+@query("""WITH c AS (SELECT row_id, list_filter(list_transform(regexp_split_to_array(query.answers, '[;；\n]'), lambda v: regexp_replace(v, '[ \t\n\r]', '', 'g')), lambda v: v <> '') AS v, regexp_replace(array_to_string(query.solutions, ''), '[ \t\n\r]', '', 'g') AS s FROM questions WHERE query.type = '填空题' AND query.answers IS NOT NULL AND len(query.solutions) > 0)
+SELECT * FROM (SELECT row_id, len(v)::INT AS values, len(list_filter(v, lambda x: NOT contains(s, x)))::INT AS missing FROM c) WHERE missing > 0""")
+def answer_match_blank(spark, folder):
+    return records.blank_matches(table(spark, folder, "questions"))
+
+
+@query("""WITH c AS (SELECT row_id, list_distinct(regexp_extract_all(query.description, '[（(]([^（()）]+)[）)]', 1)) AS p, array_to_string(query.solutions, chr(10)) AS s FROM questions WHERE query.description IS NOT NULL AND len(query.solutions) > 0)
+SELECT row_id, len(p)::INT AS items, len(list_filter(p, lambda x: contains(s, x)))::INT AS found FROM c WHERE len(p) > 0""")
+def answer_match_paren(spark, folder):
+    return records.bracketed_matches(table(spark, folder, "questions"))
+
+
+@query("""WITH c AS (SELECT row_id, query.answers AS a, array_to_string(query.solutions, chr(10)) AS s, query.stems[1].options[query.answers] AS o FROM questions WHERE query.type = '选择题' AND regexp_matches(query.answers, '^[A-F]$') AND len(query.solutions) > 0 AND len(query.stems) > 0)
+SELECT row_id, CASE WHEN coalesce(regexp_extract_all(translate(s, 'ＡＢＣＤＥＦ', 'ABCDEF'), '(?:选|答案为|答案是|Answer|choose|answer is)[：: ]*([A-F])', 1)[-1], '') = a THEN 'named' WHEN o IS NOT NULL AND contains(s, o) THEN 'text' WHEN contains(s, a) THEN 'letter' ELSE 'none' END AS evidence FROM c""")
+def choice_evidence(spark, folder):
+    return records.choice_evidence(table(spark, folder, "questions"))
+
+
+@query()
+def latex_plain(spark, folder):
+    f = rules.formulas(question_sections(table(spark, folder, "questions")))
+    return f.select("row_id", "section", "item", "n", latex.plain_formula(F.col("formula")).alias("plain"))
+
+
+@query()
+def word_pieces(spark, folder):
+    """Pieces by a vocabulary of the corpus's most frequent words, characters and their continuations (bounded at 4000)."""
+    rows = _rows(spark, folder)
+    top = [r["token"] for r in rows.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(1000).collect()]
+    vocab = sorted({w for t in top for w in (t, *(("##" if i else "") + c for i, c in enumerate(t)))})[:4000]
+    d = table(spark, folder, "documents").where(F.col("text").isNotNull())
+    p = d.select("doc_id", tokenizing.pieces(tokenizing.basic_tokens(F.col("text")), vocab).alias("p"))
+    return p.select("doc_id", F.size("p").alias("n"), F.size(F.filter("p", lambda x: x == "[UNK]")).alias("unknown"))
+
+
+@query()
+def edit_messages(spark, folder):
+    p = _pairs(spark, folder).withColumn("e", edits.token_edits("a", "b"))
+    return p.select("item_id", F.posexplode(edits.messages(F.col("a"), F.col("e"))).alias("n", "message"))
+
+
+@query("""SELECT item_id, CASE WHEN item_id * 7919 % 1000 < 100 THEN 'valid' ELSE 'train' END AS part FROM eval_items""")
+def train_valid_split(spark, folder):
+    return table(spark, folder, "eval_items").select("item_id", F.when(F.col("item_id") * 7919 % 1000 < 100, "valid").otherwise("train").alias("part"))

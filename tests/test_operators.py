@@ -7,9 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexassay.functions import responses
+from lexassay.functions import latex, responses
 from lexassay.functions.dims import pinyin_syllables
-from lexassay.operators import corpus, dictionary, edits, multivalue, nested, reports, rules, similarity
+from lexassay.operators import corpus, dictionary, edits, multivalue, nested, reports, rules, scorers, similarity, tokenizing
 
 values = multivalue.split_values
 
@@ -253,3 +253,34 @@ def test_batches_keep_their_bounds(spark):
     b = corpus.batches_by_size(df, "id", "size", 200, 8, 3).groupBy("part", "batch").agg(F.count("*").alias("n"), F.max("size").alias("m"), F.sum("size")).collect()
     assert sum(r["n"] for r in b) == 500
     assert all(r["n"] <= 8 and (r["n"] * r["m"] <= 200 or r["n"] == 1) for r in b)
+
+
+@pytest.mark.parametrize("a, b", [("\\frac{1}{2}", "1/2"), ("\\frac{\\frac{a}{b}}{c+1}", "(a/b)/(c+1)"), ("\\sqrt{23}x\\leq 10", "√(23)x≤ 10"), ("a_{n}= 20n", "a_n= 20n"), ("\\angle ABC= 51^{\\circ}", "∠ ABC= 51°"), (None, None), ("", "")])
+def test_plain_formulas(a, b):
+    assert latex.plain(a) == b
+
+
+def test_word_pieces():
+    v = {"un", "##aff", "##able", "able"}
+    assert tokenizing.greedy_pieces("unaffable", v, 8) == ["un", "##aff", "##able"]
+    assert tokenizing.greedy_pieces("unx", v, 8) == ["[UNK]"]
+    assert tokenizing.greedy_pieces("a" * 101, {"a", "##a"}, 3) == ["[UNK]"]
+
+
+def test_small_sequence_operators(spark):
+    df = spark.createDataFrame([("xu\u011b", "a@@ b c", ["x", "<unk>"], ["p", "q"], [0, 1])], "p string, b string, h array<string>, s array<string>, al array<int>")
+    r = df.select(tokenizing.toned(F.col("p")), tokenizing.without_bpe(F.col("b")), tokenizing.unknowns_replaced(F.col("h"), F.col("s"), F.col("al")), tokenizing.basic_tokens(F.lit("He said: 好。"))).first()
+    assert tuple(r) == ("xue3", "ab c", ["x", "q"], ["he", "said", ":", "好", "。"])
+    e = spark.createDataFrame([([[1.0, 0.0], [0.0, 0.5], [0.0, 1.0]],)], "e array<array<double>>")
+    assert e.select(tokenizing.best_path(F.col("e"), [[0.0, -2.0], [0.0, 0.0]])).first()[0] == [1, 1, 1]
+
+
+def test_scores(spark):
+    s = spark.createDataFrame([(1, 0, 10.0), (1, 1, 9.0), (2, 0, 10.0), (2, 1, 9.99)], "id int, mask int, score double")
+    assert {tuple(r) for r in scorers.best_subset(s, "id").collect()} == {(1, 1), (2, 0)}
+    h = spark.createDataFrame([(1, "a", -1.0), (1, "b", -2.0)], "id int, hyp string, score double")
+    x = spark.createDataFrame([(1, "a", "x", -3.0), (1, "a", "y", -0.1), (1, "b", "z", -0.2)], "id int, hyp string, token string, log_p double")
+    assert [(r["hyp"], r["token"]) for r in scorers.beam_step(h, x, "id", 1).orderBy("rank").collect()] == [("a", "y"), ("b", "z")]
+    o = spark.createDataFrame([(1, i, c) for i, c in enumerate("MSSDMI")], "id int, pos int, op string")
+    assert sorted((r["start_at"], r["end_at"]) for r in edits.operation_runs(o, "id", False).collect()) == [(1, 4), (5, 6)]
+    assert sorted((r["start_at"], r["end_at"]) for r in edits.operation_runs(o, "id", True).collect()) == [(1, 3), (3, 4), (5, 6)]
