@@ -73,3 +73,13 @@ def filled_blanks(question: Column, answers: Column) -> Column:
     filled = F.array_join(F.transform(parts, lambda p, i: F.when(i < n, F.concat(p, F.lit("【"), F.coalesce(F.get(answers, i), F.lit("")), F.lit("】"))).otherwise(p)), "")
     rest = F.when(F.size(answers) > n, F.array_join(F.transform(F.slice(answers, n + 1, F.greatest(F.size(answers) - n, F.lit(0))), lambda a: F.concat(F.lit("【"), a, F.lit("】"))), "")).otherwise("")
     return F.concat(filled, rest)
+
+
+def cut_before_capitals(col: Column) -> Column:
+    """Pieces of a line cut after a point that a capital follows at once."""
+    return F.split(F.regexp_replace(col, r"\.(?=[A-Z])", ".\u0001"), "\u0001")
+
+
+def comma_cuts(col: Column, least: int = 20) -> Column:
+    """A long sentence cut after commas that are at least ``least`` characters apart."""
+    return F.filter(F.split(F.regexp_replace(col, f"([^，]{{{least},}}，)", "$1\u0001"), "\u0001"), lambda x: x != "")

@@ -56,6 +56,23 @@ def ranks(df: DataFrame, order: list[Column]) -> DataFrame:
     return parted.withColumn("_i", inner).join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + F.col("_i") - 1).drop("_p", "_i", "_before")
 
 
+def with_previous(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``lag(value)`` within each key, for keys of any size: rows are range-partitioned by key and order, so a
+    key may span many tasks; the first row of a partition takes the last one of the partition before."""
+    from lexassay.functions.lineage import cut_lineage
+
+    cols = [F.col(key), *map(F.col, order)]
+    parted = cut_lineage(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p").orderBy(*cols)
+    inner = parted.withColumn("_k", F.lag(key).over(w)).withColumn("_v", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = parted.groupBy("_p").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), F.struct(*cols)).alias("last"))
+    ends = Window.orderBy("_p")  # one row a partition
+    before = last.select("_p", F.lag("last").over(ends).alias("_last"))
+    j = inner.join(F.broadcast(before), "_p", "left")
+    k, v = F.when(F.col("_first"), F.col("_last.k")).otherwise(F.col("_k")), F.when(F.col("_first"), F.col("_last.v")).otherwise(F.col("_v"))
+    return j.withColumn(name, F.when(k.eqNullSafe(F.col(key)), v)).drop("_p", "_k", "_v", "_first", "_last")
+
+
 def encoded(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """``key, ids``: tokens to vocabulary numbers, unknown ones to ``<unk>``, end of sentence appended."""
     unk, eos = SPECIALS.index("<unk>"), SPECIALS.index("</s>")
@@ -198,3 +215,59 @@ def masked_tokens(rows: DataFrame, key: str, share: float = 0.15) -> DataFrame:
 def padded(ids: Column, length: int, pad: int = 0) -> Column:
     """An array cut or padded on the right to a length."""
     return F.slice(F.concat(ids, F.array_repeat(F.lit(pad).cast("long"), length)), 1, length)
+
+
+def collated(ids: Column, length: int, pad: int = 0, left: bool = False, eos_first: int | None = None) -> Column:
+    """Padded to a length on either side; ``eos_first`` moves that closing number to the front."""
+    x = ids
+    if eos_first is not None:
+        n = F.size(ids)
+        x = F.when((n > 0) & (F.element_at(ids, -1) == eos_first), F.concat(F.slice(ids, n, 1), F.slice(ids, F.lit(1), n - 1))).otherwise(ids)
+    fill = F.array_repeat(F.lit(pad).cast("long"), F.greatest(F.lit(length) - F.size(x), F.lit(0)))
+    return F.slice(F.concat(fill, x) if left else F.concat(x, fill), 1, length)
+
+
+def fitting(df: DataFrame, sizes: dict[str, int | None]) -> DataFrame:
+    """``kept``: all sizes within their limits; no limit is None.  Rows are tagged, not dropped."""
+    ok = F.lit(True)
+    for col, most in sizes.items():
+        if most is not None:
+            ok = ok & (F.coalesce(F.col(col), F.lit(0)) <= most)
+    return df.withColumn("kept", ok)
+
+
+def truncated_ids(ids: Column, length: int) -> Column:
+    """Numbers outside a shorter vocabulary to ``<unk>``."""
+    return F.transform(ids, lambda i: F.when(i < length, i).otherwise(SPECIALS.index("<unk>")))
+
+
+def packed(sizes: Column, most: int) -> Column:
+    """Block number of each sentence when whole sentences are packed greedily into blocks of at most ``most`` tokens."""
+    start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def add(acc: Column, n: Column) -> Column:
+        new = (acc["used"] > 0) & (acc["used"] + n > most)
+        block = acc["block"] + new.cast("int")
+        return F.struct(block.alias("block"), F.when(new, n).otherwise(acc["used"] + n).cast("int").alias("used"), F.concat(acc["out"], F.array(block)).alias("out"))
+
+    return F.aggregate(sizes, start, add, lambda acc: acc["out"])
+
+
+def next_sentence_pairs(sentences: DataFrame, key: str) -> DataFrame:
+    """``key, n, first, second, is_next``: each sentence (``key, n, sentence``) with its successor, or, by a hashed
+    coin, with the sentence two further on."""
+    w = Window.partitionBy(key).orderBy("n")
+    s = sentences.withColumn("_1", F.lead("sentence").over(w)).withColumn("_3", F.lead("sentence", 3).over(w))
+    random = (uniform(F.col(key), F.col("n")) < 0.5) & F.col("_3").isNotNull()
+    return s.where(F.col("_1").isNotNull()).select(key, "n", F.col("sentence").alias("first"), F.when(random, F.col("_3")).otherwise(F.col("_1")).alias("second"), (~random).alias("is_next"))
+
+
+def trimmed_pair(a: Column, b: Column, most: int) -> Column:
+    """Two token arrays cut at their ends until together they hold at most ``most``; the longer one is cut first."""
+    over = F.greatest(F.size(a) + F.size(b) - most, F.lit(0))
+    first = F.least(over, F.greatest(F.size(a) - F.size(b), F.lit(0)))
+    second = F.least(over, F.greatest(F.size(b) - F.size(a), F.lit(0)))
+    rest = over - first - second
+    na = F.size(a) - first - F.ceil(rest / 2).cast("int")
+    nb = F.size(b) - second - F.floor(rest / 2).cast("int")
+    return F.struct(F.slice(a, F.lit(1), F.greatest(na, F.lit(0))).alias("a"), F.slice(b, F.lit(1), F.greatest(nb, F.lit(0))).alias("b"))

@@ -141,3 +141,16 @@ def choice_evidence(questions: DataFrame) -> DataFrame:
     c = c.select("row_id", q["answers"].alias("a"), s.alias("s"), option.alias("o"))
     found = F.when(chosen(F.col("s")) == F.col("a"), "named").when(F.col("o").isNotNull() & F.col("s").contains(F.col("o")), "text").when(F.col("s").contains(F.col("a")), "letter").otherwise("none")
     return c.select("row_id", found.alias("evidence"))
+
+
+def canonical_answers(answers: Column) -> Column:
+    """Answers in whatever shape as ``ARRAY<ARRAY<STRING>>``: a text, the text of a list, or of a list of lists."""
+    v = F.when(F.trim(answers).startswith("["), F.try_parse_json(answers))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    inner = F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<string>"), F.array(F.try_variant_get(x, "$", "string"))))
+    return F.when(answers.isNotNull(), F.coalesce(inner, F.array(F.array(answers))))
+
+
+def checker_of(subject: Column) -> Column:
+    """The checker and spelling model a record goes to."""
+    return F.when(subject.isNull(), "none").when(subject == "english", "english").when(subject.isin("history", "politics", "chinese"), "chinese, humanities").when(subject == "biology", "chinese, biology").when(subject.isin("physics", "math", "chemistry"), "chinese, sciences").otherwise("chinese, no spelling")

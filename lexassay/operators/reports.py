@@ -48,3 +48,10 @@ def merged(reports: DataFrame) -> DataFrame:
     """
     s = reports.select("_id", F.explode("errors").alias("s")).select("_id", F.col("s.error_sent").alias("section"), F.explode("s.error_detail").alias("d"))
     return s.groupBy("_id", "section", F.coalesce("d.error_type", F.lit("")).alias("error_type")).agg(F.count("*").alias("n"))
+
+
+def with_context(errors: DataFrame, sections: DataFrame, width: int = 4) -> DataFrame:
+    """Errors with ``width`` characters of text on either side of their span."""
+    j = errors.join(sections.select("row_id", "section", "item", "text"), ["row_id", "section", "item"])
+    a = F.greatest(F.col("start_at") - width, F.lit(0))
+    return j.withColumn("context", F.substring(F.col("text"), a + 1, F.col("end_at") + width - a)).drop("text")

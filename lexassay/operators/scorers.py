@@ -46,3 +46,29 @@ def beam_step(hypotheses: DataFrame, expansions: DataFrame, key: str, beam: int)
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), "hyp", "token")
     j = hypotheses.join(expansions, [key, "hyp"]).withColumn("score", F.col("score") + F.col("log_p")).drop("log_p")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2 * beam)
+
+
+def sentence_scores(tokens: DataFrame, key: str) -> DataFrame:
+    """Mean negative log probability of each sentence, infinite ones left out."""
+    return tokens.where(F.col("log_p") > float("-inf")).groupBy(key).agg((-F.avg("log_p")).alias("score"))
+
+
+def within_length(score: Column, step: Column, is_end: Column, least: Column, most: Column) -> Column:
+    """Length limits of a search step: no end before ``least``, nothing but the end from ``most`` on."""
+    never = F.lit(float("-inf"))
+    return F.when(is_end & (step < least), never).when(~is_end & (step >= most), never).when(is_end & (step >= most), F.lit(0.0)).otherwise(score)
+
+
+def sampled(candidates: DataFrame, key: str, weight: str, u: Column, top: int) -> DataFrame:
+    """One of the ``top`` candidates of each key, drawn in proportion to its weight by a uniform number ``u``."""
+    w = Window.partitionBy(key).orderBy(F.col(weight).desc(), "token")
+    c = candidates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top)
+    c = c.withColumn("_upto", F.sum(weight).over(Window.partitionBy(key).orderBy("_n"))).withColumn("_all", F.sum(weight).over(Window.partitionBy(key)))
+    return c.where((u * F.col("_all") < F.col("_upto")) & (u * F.col("_all") >= F.col("_upto") - F.col(weight))).drop("_n", "_upto", "_all")
+
+
+def outcomes(corrections: DataFrame) -> DataFrame:
+    """``outcome, n`` for rows ``original, truth, predicted`` of characters."""
+    o, t, p = F.col("original"), F.col("truth"), F.col("predicted")
+    kind = F.when((o != t) & (p == t), "detected and corrected").when((o != t) & (p != o), "detected, wrongly corrected").when(o != t, "missed").when(p != o, "false alarm").otherwise("untouched")
+    return corrections.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))

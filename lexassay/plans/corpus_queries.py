@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexassay.functions import latex
@@ -440,8 +440,8 @@ def daily_usage_window(spark, folder):
 
 @query("SELECT user_id, count(*) AS events, sum(changed)::BIGINT AS changes FROM (SELECT user_id, CASE WHEN event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS changed FROM events) GROUP BY user_id")
 def change_detection(spark, folder):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, folder, "events").withColumn("changed", F.coalesce((F.col("event_type") != F.lag("event_type").over(w)).cast("int"), F.lit(0)))
+    e = corpus.with_previous(table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", "before")
+    e = e.withColumn("changed", F.coalesce((F.col("event_type") != F.col("before")).cast("int"), F.lit(0)))
     return e.groupBy("user_id").agg(F.count("*").alias("events"), F.sum("changed").alias("changes"))
 
 
@@ -509,3 +509,20 @@ def edit_messages(spark, folder):
 @query("""SELECT item_id, CASE WHEN item_id * 7919 % 1000 < 100 THEN 'valid' ELSE 'train' END AS part FROM eval_items""")
 def train_valid_split(spark, folder):
     return table(spark, folder, "eval_items").select("item_id", F.when(F.col("item_id") * 7919 % 1000 < 100, "valid").otherwise("train").alias("part"))
+
+
+@query("""SELECT CASE WHEN subject IS NULL THEN 'none' WHEN subject = 'english' THEN 'english' WHEN subject IN ('history', 'politics', 'chinese') THEN 'chinese, humanities' WHEN subject = 'biology' THEN 'chinese, biology' WHEN subject IN ('physics', 'math', 'chemistry') THEN 'chinese, sciences' ELSE 'chinese, no spelling' END AS checker, count(*) AS n FROM questions GROUP BY ALL""")
+def route_subjects(spark, folder):
+    return table(spark, folder, "questions").groupBy(records.checker_of(F.col("subject")).alias("checker")).agg(F.count("*").alias("n"))
+
+
+@query()
+def answers_variant(spark, folder):
+    a = records.canonical_answers(F.col("query.answers"))
+    return table(spark, folder, "questions").select("row_id", F.posexplode(a).alias("i", "x")).select("row_id", "i", F.posexplode("x").alias("j", "value"))
+
+
+@query()
+def next_sentences(spark, folder):
+    s = cleaning.marked_sentences(question_sections(table(spark, folder, "questions"))).where("section = 'description'")
+    return corpus.next_sentence_pairs(s.select("row_id", "n", "sentence"), "row_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexassay.functions import latex, responses
 from lexassay.functions.dims import pinyin_syllables
-from lexassay.operators import corpus, dictionary, edits, multivalue, nested, reports, rules, scorers, similarity, tokenizing
+from lexassay.operators import cleaning, corpus, dictionary, edits, multivalue, nested, records, reports, rules, scorers, similarity, tokenizing
 
 values = multivalue.split_values
 
@@ -284,3 +284,42 @@ def test_scores(spark):
     o = spark.createDataFrame([(1, i, c) for i, c in enumerate("MSSDMI")], "id int, pos int, op string")
     assert sorted((r["start_at"], r["end_at"]) for r in edits.operation_runs(o, "id", False).collect()) == [(1, 4), (5, 6)]
     assert sorted((r["start_at"], r["end_at"]) for r in edits.operation_runs(o, "id", True).collect()) == [(1, 3), (3, 4), (5, 6)]
+
+
+def test_more_sequence_operators(spark):
+    one = spark.range(1)
+    a = lambda *x: F.array(*[F.lit(i).cast("long") for i in x])
+    r = one.select(
+        corpus.collated(a(5, 6, 1), 5, 0),
+        corpus.collated(a(5, 6, 1), 5, 0, left=True, eos_first=1),
+        corpus.truncated_ids(a(1, 9), 5),
+        corpus.packed(F.array(*map(F.lit, (3, 4, 5, 9, 1))), 8),
+        cleaning.cut_before_capitals(F.lit("It is.So be it. Yes")),
+        records.canonical_answers(F.lit('[["a", "b"], "c"]')),
+        records.canonical_answers(F.lit("plain")),
+    ).first()
+    assert list(r) == [[5, 6, 1, 0, 0], [0, 0, 1, 5, 6], [1, 2], [0, 0, 1, 2, 3], ["It is.", "So be it. Yes"], [["a", "b"], ["c"]], [["plain"]]]
+    t = one.select(corpus.trimmed_pair(a(*range(9)), a(*range(3)), 6).alias("x")).select("x.*").first()
+    assert (len(t["a"]), len(t["b"])) == (3, 3)
+
+
+def test_more_scores(spark):
+    s = spark.createDataFrame([(1, -1.0), (1, -3.0), (1, float("-inf"))], "id int, log_p double")
+    assert scorers.sentence_scores(s, "id").first()["score"] == 2.0
+    c = spark.createDataFrame([(1, "a", 0.7), (1, "b", 0.2), (1, "c", 0.1)], "id int, token string, p double")
+    assert [scorers.sampled(c, "id", "p", F.lit(u), 2).first()["token"] for u in (0.0, 0.7, 0.8, 0.99)] == ["a", "a", "b", "b"]
+    o = spark.createDataFrame([("x", "y", "y"), ("x", "y", "z"), ("x", "y", "x"), ("x", "x", "q"), ("x", "x", "x")], "original string, truth string, predicted string")
+    assert scorers.outcomes(o).count() == 5
+    e = spark.createDataFrame([(1, "d", 0, 5, 6)], "row_id int, section string, item int, start_at int, end_at int")
+    t = spark.createDataFrame([(1, "d", 0, "0123456789abc")], "row_id int, section string, item int, text string")
+    assert reports.with_context(e, t).first()["context"] == "123456789"
+
+
+def test_previous_row_across_partitions(spark):
+    df = spark.range(1000).select((F.col("id") % 3 == 0).cast("int").alias("k"), F.col("id").alias("t"), (F.col("id") * 7).alias("v"))
+    got = {(r["k"], r["t"]): r["b"] for r in corpus.with_previous(df, "k", ["t"], "v", "b").collect()}
+    last = {}
+    for i in range(1000):
+        k = int(i % 3 == 0)
+        assert got[k, i] == last.get(k)
+        last[k] = i * 7
