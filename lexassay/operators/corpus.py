@@ -32,9 +32,8 @@ def vocabulary(rows: DataFrame, threshold: int = 1, most: int | None = None, mul
     """
     spark = rows.sparkSession
     counts = rows.groupBy(F.col("token").alias("symbol")).agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
-    counts = counts.orderBy(F.col("n").desc(), "symbol")
     if most is not None:
-        counts = counts.limit(max(0, most - len(SPECIALS)))
+        counts = counts.orderBy(F.col("n").desc(), "symbol").limit(max(0, most - len(SPECIALS)))
     ranked = ranks(counts, [F.col("n").desc(), F.col("symbol")]).select((F.col("rank") + len(SPECIALS)).alias("idx"), "symbol", "n")
     special = spark.createDataFrame([(i, s, 0) for i, s in enumerate(SPECIALS)], "idx long, symbol string, n long")
     size = ranked.agg(F.count("*").alias("c"))
