@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from lexassay.functions.lineage import cut_lineage
+
 # Letters drawn like a Latin letter, by script (public Unicode confusables data).
 LOOKALIKES = {
     "Cyrillic": ("АВЕЅІЈКМНОРСТХаеѕіјорсухԛԝһԁ", "ABESIJKMHOPCTXaesijopcyxqwhd"),
@@ -199,6 +201,8 @@ def same_looking_pairs(texts: DataFrame) -> DataFrame:
     form = texts.withColumn("_c", canonical_text("text")).where(F.col("_c").isNotNull() & F.col("_c").rlike("[^\\s\x1e]"))
     digest = lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 32))
     keyed = form.select("row_id", "field", digest(F.concat_ws("\x00", F.col("field"), F.coalesce(F.col("scope").cast("string"), F.lit("")), F.col("_c"))).alias("look"), digest(F.col("text")).alias("code"))
+    # the texts are read and normalised once; what follows works on the digests, a hundredth of their size
+    keyed = cut_lineage(keyed)
     rows = keyed.distinct()
     mixed = keyed.groupBy("look").agg(F.min("code").alias("_a"), F.max("code").alias("_b")).where("_a <> _b").select("look")
     rows = rows.join(mixed, "look", "left_semi")
