@@ -35,7 +35,7 @@ N = 5
 SHARE = 0.4
 #: An n-gram in more than this share of items or documents (and more than LEAST_COMMON of them) is common.
 COMMON, LEAST_COMMON = 0.02, 3
-BLOCK = 20_000
+BLOCK = 2_000
 #: Least number of seeds near one diagonal, and least share of the item's seeds.  A leak covers two fifths
 #: of the item, so even with every second of its n-grams edited it shows twice this share.
 LEAST_SEEDS, SEED_SHARE = 3, 0.1
@@ -125,35 +125,63 @@ class Items:
         self.seeds = [total[k] if k in whole else rare[k] for k in range(len(self.ids))]
 
 
-def align(item: str, weight: np.ndarray, text: str) -> int:
-    """Characters of ``item`` (counted by ``weight``) matched in its best local alignment with ``text``.
+#: Alignments computed side by side.
+SIDE_BY_SIDE = 48
+
 
-    Smith-Waterman with linear gaps, a row at a time; score and matched characters share one integer, so
-    that the best score carries its count along.
+def align_many(items: list[str], weights: list[np.ndarray], texts: list[str]) -> list[int]:
+    """For each item the characters (counted by its weights) matched in its best local alignment with its text.
+
+    Smith-Waterman with linear gaps, a row at a time and many pairs side by side.  Score and matched
+    characters share one integer, so that the best score carries its count along.
     """
-    if not item or not text:
-        return 0
-    t = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.frombuffer(item.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = [0] * len(items)
+    order = sorted(range(len(items)), key=lambda i: (len(items[i]), len(texts[i])))
+    for at in range(0, len(order), SIDE_BY_SIDE):
+        some = [i for i in order[at : at + SIDE_BY_SIDE] if items[i] and texts[i]]
+        if some:
+            for i, n in zip(some, _align_block([items[i] for i in some], [weights[i] for i in some], [texts[i] for i in some])):
+                out[i] = n
+    return out
+
+
+def _codes(texts: list[str], fill: int) -> np.ndarray:
+    out = np.full((len(texts), max(map(len, texts))), fill, np.int64)
+    for i, t in enumerate(texts):
+        out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _align_block(items: list[str], weights: list[np.ndarray], texts: list[str]) -> list[int]:
     bits = 24
-    gap = np.int64(-GAP) << bits
-    ramp = np.arange(len(t) + 1, dtype=np.int64) * gap
-    row = np.zeros(len(t) + 1, np.int64)
-    best = np.int64(0)
-    miss = np.int64(MISMATCH) << bits
-    for i in range(len(s)):
-        hit = (np.int64(MATCH) << bits) + np.int64(weight[i])
-        new = np.empty_like(row)
-        new[0] = 0
-        np.maximum(row[:-1] + np.where(t == s[i], hit, miss), row[1:] - gap, out=new[1:])
-        new[new < (1 << bits)] = 0
-        new = np.maximum.accumulate(new + ramp) - ramp
-        new[new < (1 << bits)] = 0
-        row = new
-        top = row.max()
-        if top > best:
-            best = top
-    return int(best & ((1 << bits) - 1))
+    s, t = _codes(items, -1), _codes(texts, -2)
+    w = np.zeros(s.shape, np.int64)
+    for i, x in enumerate(weights):
+        w[i, : len(x)] = x
+    gap, miss, one = np.int64(-GAP) << bits, np.int64(MISMATCH) << bits, np.int64(1) << bits
+    hit = (np.int64(MATCH) << bits) + w
+    ramp = np.arange(t.shape[1] + 1, dtype=np.int64) * gap
+    row = np.zeros((len(items), t.shape[1] + 1), np.int64)
+    new = np.zeros_like(row)
+    best = np.zeros(len(items), np.int64)
+    for i in range(s.shape[1]):
+        step = np.where(t == s[:, i : i + 1], hit[:, i : i + 1], miss)
+        step += row[:, :-1]
+        np.maximum(step, row[:, 1:] - gap, out=new[:, 1:])
+        new[:, 0] = 0
+        new[new < one] = 0
+        new += ramp
+        np.maximum.accumulate(new, axis=1, out=new)
+        new -= ramp
+        new[new < one] = 0
+        row, new = new, row
+        np.maximum(best, row.max(axis=1), out=best)
+    return [int(x) & ((1 << bits) - 1) for x in best]
+
+
+def align(item: str, weight: np.ndarray, text: str) -> int:
+    """``align_many`` for one pair."""
+    return align_many([item], [weight], [text])[0]
 
 
 def candidates(items: Items, toks: list[str], at: list[int]) -> dict[int, list[tuple[int, int]]]:
@@ -168,40 +196,41 @@ def candidates(items: Items, toks: list[str], at: list[int]) -> dict[int, list[t
     return hits
 
 
-def best_passage(items: Items, k: int, hits: list[tuple[int, int]], bare: str) -> int:
-    """Matched characters of item ``k`` in the best passage around the densest diagonals."""
+def stretches(items: Items, k: int, hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """Stretches of a document around the diagonals with enough seeds of item ``k``, densest first."""
     size = items.size[k]
     slack = max(24, size // 5)
     bands: Counter = Counter((d - q) // slack for d, q in hits)
-    best = 0
-    seen: list[tuple[int, int]] = []
+    out: list[tuple[int, int]] = []
     for band, _ in bands.most_common():
-        n = bands[band] + max(bands.get(band + 1, 0), bands.get(band - 1, 0))
-        if n < max(LEAST_SEEDS, SEED_SHARE * items.seeds[k]):
+        if bands[band] + max(bands.get(band + 1, 0), bands.get(band - 1, 0)) < max(LEAST_SEEDS, SEED_SHARE * items.seeds[k]):
             continue
-        lo = max(0, (band - 1) * slack)
-        hi = (band + 2) * slack + size
-        if any(a <= lo + slack and hi - slack <= b for a, b in seen):
-            continue
-        seen.append((lo, hi))
-        best = max(best, align(items.bare[k], items.stock[k], bare[lo:hi]))
-        if best >= SHARE * size:
-            break
-    return best
-
-
-def leaked(items: Items, text: str | None) -> list[tuple[int, float]]:
-    """Items found in one text with the share of their text that is matched."""
-    if not text:
-        return []
-    toks, at, bare = tokens(text)
-    out = []
-    for k, hits in candidates(items, toks, at).items():
-        if len(hits) < max(LEAST_SEEDS, SEED_SHARE * items.seeds[k]):
+        lo, hi = max(0, (band - 1) * slack), min(length, (band + 2) * slack + size)
+        if not any(a <= lo + slack and hi - slack <= b for a, b in out):
+            out.append((lo, hi))
+    return out
+
+
+def leaked(items: Items, texts: list[str | None], share: float = SHARE) -> list[tuple[int, int]]:
+    """``(place in texts, item id)`` of the items found in texts."""
+    waiting = []
+    for n, text in enumerate(texts):
+        if not text:
             continue
-        share = best_passage(items, k, hits, bare) / max(1, items.size[k])
-        if share > 0:
-            out.append((items.ids[k], share))
+        toks, at, bare = tokens(text)
+        for k, hits in candidates(items, toks, at).items():
+            if len(hits) >= max(LEAST_SEEDS, SEED_SHARE * items.seeds[k]) and (where := stretches(items, k, hits, len(bare))):
+                waiting.append((n, k, bare, where))
+    out, turn = [], 0
+    while waiting:  # the densest stretch of every pair first, the next one only where that was not enough
+        got = align_many([items.bare[k] for _, k, _, _ in waiting], [items.stock[k] for _, k, _, _ in waiting], [bare[slice(*where[turn])] for _, _, bare, where in waiting])
+        rest = []
+        for pair, found in zip(waiting, got):
+            if found >= share * items.size[pair[1]]:
+                out.append((pair[0], items.ids[pair[1]]))
+            elif len(pair[3]) > turn + 1:
+                rest.append(pair)
+        waiting, turn = rest, turn + 1
     return out
 
 
@@ -240,12 +269,9 @@ def leaks(documents: DataFrame, eval_items: DataFrame, share: float = SHARE) ->
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, found = [], []
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    for item, got in leaked(shared.value, text):
-                        if got >= share:
-                            ids.append(doc)
-                            found.append(item)
+                docs = b.column("doc_id").to_pylist()
+                got = leaked(shared.value, b.column("text").to_pylist(), share)
+                ids, found = [docs[n] for n, _ in got], [item for _, item in got]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
 
         got = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(find, "doc_id long, item_id long")
