@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ N = 5
 #: Share of an item's text that has to be found as one passage.
 SHARE = 0.4
 #: An n-gram in more than this share of items or documents (and more than LEAST_COMMON of them) is common.
-COMMON, LEAST_COMMON = 0.02, 3
+COMMON, LEAST_COMMON = 0.002, 3
 BLOCK = 2_000
 #: Least number of seeds near one diagonal, and least share of the item's seeds.  A leak covers two fifths
 #: of the item, so even with every second of its n-grams edited it shows twice this share.
@@ -43,17 +44,15 @@ LEAST_SEEDS, SEED_SHARE = 3, 0.1
 LEAST_RARE = 0.2
 MATCH, MISMATCH, GAP = 2, -3, -3
 
-_TOKEN = re.compile(r"[㐀-鿿豈-﫿\U00020000-\U0003ffff぀-ヿ]|[^\W_]+?(?=[㐀-鿿぀-ヿ]|[\W_]|\Z)")
+_CJK = "㐀-鿿豈-﫿\U00020000-\U0003ffff぀-ヿ"
+_TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
 
 
 def tokens(text: str) -> tuple[list[str], list[int], str]:
     """Tokens, the place of each in the bare text, and the bare text."""
     text = canonical(text).lower()
     toks = _TOKEN.findall(text)
-    at, here = [], 0
-    for t in toks:
-        at.append(here)
-        here += len(t)
+    at = list(accumulate(map(len, toks), initial=0))
     return toks, at, "".join(toks)
 
 
