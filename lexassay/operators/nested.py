@@ -22,7 +22,6 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A format with more paths than this is refused instead of generating an unbounded expression.
 MOST_PATHS = 5_000

@@ -16,7 +16,21 @@ def p2_found(spark, folder):
     return multivalue.answer_values(table(spark, folder, "questions"))
 
 
-@query()
+@query("""WITH p AS (SELECT log_id, payload::JSON AS j FROM service_log WHERE json_valid(payload)),
+r AS (SELECT log_id, coalesce(j->'query', j->'request'->'query') AS q, coalesce(j->'data', j->'response'->'data') AS d FROM p),
+x AS (SELECT log_id, d, CASE WHEN json_type(q) = 'VARCHAR' THEN (q->>'$')::JSON ELSE q END AS q FROM r),
+st AS (SELECT log_id, i, q->'stems'->i::BIGINT AS s FROM (SELECT *, unnest(range(json_array_length(q->'stems')::BIGINT))::INT AS i FROM x WHERE json_type(q->'stems') = 'ARRAY')),
+op AS (SELECT log_id, i, s->'options' AS o FROM st WHERE json_type(s->'options') = 'OBJECT'
+  UNION ALL SELECT log_id, i, s->'options'->k::BIGINT FROM (SELECT *, unnest(range(json_array_length(s->'options')::BIGINT))::INT AS k FROM st WHERE json_type(s->'options') = 'ARRAY')),
+an AS (SELECT log_id, i, q->'answers'->i::BIGINT AS a FROM (SELECT *, unnest(range(json_array_length(q->'answers')::BIGINT))::INT AS i FROM x WHERE json_type(q->'answers') = 'ARRAY')),
+rp AS (SELECT log_id, d->(json_keys(d)[1]) AS r FROM x WHERE json_type(d) = 'OBJECT' AND len(json_keys(d)) > 0),
+se AS (SELECT log_id, i, r->i::BIGINT->'error_detail' AS e FROM (SELECT *, unnest(range(json_array_length(r)::BIGINT))::INT AS i FROM rp))
+SELECT log_id, 'stem' AS entity, i, '' AS j, s->>'stem' AS value FROM st WHERE s->>'stem' <> ''
+UNION ALL SELECT log_id, 'option', i, k, o->>k FROM (SELECT *, unnest(json_keys(o)) AS k FROM op) WHERE o->>k IS NOT NULL
+UNION ALL SELECT log_id, 'answer', 0, '0', q->>'answers' FROM x WHERE json_type(q->'answers') = 'VARCHAR'
+UNION ALL SELECT log_id, 'answer', i, '0', a->>'$' FROM an WHERE json_type(a) = 'VARCHAR'
+UNION ALL SELECT log_id, 'answer', i, k::VARCHAR, a->>k::BIGINT FROM (SELECT *, unnest(range(json_array_length(a)::BIGINT))::INT AS k FROM an WHERE json_type(a) = 'ARRAY') WHERE a->>k IS NOT NULL
+UNION ALL SELECT log_id, 'error', i, k::VARCHAR, coalesce(e->k::BIGINT->>'error_type', '') FROM (SELECT *, unnest(range(json_array_length(e)::BIGINT))::INT AS k FROM se WHERE json_type(e) = 'ARRAY')""")
 def p4_found(spark, folder):
     return nested.call_entities(table(spark, folder, "service_log"))
 

@@ -76,7 +76,10 @@ def zh_punct_in_latin(spark, folder):
     return rules.chinese_signs(_sections(spark, folder))
 
 
-@query(_first_place(r"www(?:\. | \.)[A-Za-z0-9]+", "web address", target="replace(run, ' ', '')"))
+WEB_SQL = _first_place(r"www(?:\. | \.)[A-Za-z0-9]+", "web address", target="replace(run, ' ', '')")
+
+
+@query(WEB_SQL)
 def url_format(spark, folder):
     return rules.web_addresses(_sections(spark, folder))
 
@@ -209,7 +212,7 @@ def last_record_wins(spark, folder):
     return legacy_view(table(spark, folder, "questions"))
 
 
-@query(f"""WITH u AS (SELECT DISTINCT * FROM (({SYMBOL_SQL}) UNION ALL ({_first_place(r"www(?:. | .)[A-Za-z0-9]+".replace(".", chr(92) + "."), "web address", target="replace(run, ' ', '')")}))),
+@query(f"""WITH u AS (SELECT DISTINCT * FROM (({SYMBOL_SQL}) UNION ALL ({WEB_SQL}))),
 n AS (SELECT row_id, section, rule, row_number() OVER (PARTITION BY row_id, section ORDER BY item, start_at, rule, end_at, source) AS k FROM u)
 SELECT row_id, count(DISTINCT section) AS sections, count(*) AS errors, max(k) AS highest FROM n GROUP BY row_id""")
 def nested_report(spark, folder):
