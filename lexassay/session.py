@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -26,5 +27,6 @@ def ship(spark: SparkSession) -> None:
     if sc.master.startswith("local[") or sc.master == "local":
         found.append(Path.cwd())
     if ROOT not in found:
-        base = os.path.join(tempfile.mkdtemp(prefix="lexassay-"), "lexassay-package")
-        sc.addPyFile(shutil.make_archive(base, "zip", ROOT, "lexassay"))
+        folder = tempfile.mkdtemp(prefix="lexassay-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "lexassay-package"), "zip", ROOT, "lexassay"))
