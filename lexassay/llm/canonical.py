@@ -194,8 +194,9 @@ def same_looking_pairs(texts: DataFrame) -> DataFrame:
     """Pairs of rows whose texts are drawn the same but coded differently.
 
     ``texts`` has ``row_id, field, scope, text``: texts are compared within equal ``(field, scope)``.
-    Only digests are shuffled.  Classes with one spelling are dropped before the self join, which
-    matches a *spelling* with the other spellings of its class, so equal copies never meet.
+    Only digests are shuffled.  Classes with one spelling are dropped; of the others the *spellings* are
+    paired, each once whatever its copies, and only then do the rows of two differing spellings meet: equal
+    copies are never compared, and no more rows are made than the result holds.
     Null texts and texts that show nothing give no pair; equal rows given twice count once.
     """
     form = texts.withColumn("_c", canonical_text("text")).where(F.col("_c").isNotNull() & F.col("_c").rlike("[^\\s\x1e]"))
@@ -203,11 +204,15 @@ def same_looking_pairs(texts: DataFrame) -> DataFrame:
     keyed = form.select("row_id", "field", digest(F.concat_ws("\x00", F.col("field"), F.coalesce(F.col("scope").cast("string"), F.lit("")), F.col("_c"))).alias("look"), digest(F.col("text")).alias("code"))
     # the texts are read and normalised once; what follows works on the digests, a hundredth of their size
     keyed = cut_lineage(keyed)
-    rows = keyed.distinct()
-    mixed = keyed.groupBy("look").agg(F.min("code").alias("_a"), F.max("code").alias("_b")).where("_a <> _b").select("look")
-    rows = rows.join(mixed, "look", "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.code") != F.col("b.code")) & (F.col("a.row_id") < F.col("b.row_id"))).select(F.col("a.row_id").alias("row_a"), F.col("b.row_id").alias("row_b"), F.col("a.field").alias("field"))
+    mixed = keyed.groupBy("look").agg(F.min("code").alias("_x"), F.max("code").alias("_y")).where("_x <> _y").select("look")
+    rows = cut_lineage(keyed.join(mixed, "look", "left_semi").distinct())  # what is left is of the size of the result
+    spellings = rows.select("look", "field", "code").distinct()
+    a, b = spellings.alias("a"), spellings.alias("b")
+    differing = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.code") < F.col("b.code"))).select(F.col("a.look").alias("look"), F.col("a.field").alias("field"), F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b"))
+    left = rows.select("look", F.col("code").alias("code_a"), F.col("row_id").alias("_a"))
+    right = rows.select("look", F.col("code").alias("code_b"), F.col("row_id").alias("_b"))
+    j = differing.join(left, ["look", "code_a"]).join(right, ["look", "code_b"]).where("_a <> _b")
+    return j.select(F.least("_a", "_b").alias("row_a"), F.greatest("_a", "_b").alias("row_b"), "field")
 
 
 def question_texts(questions: DataFrame) -> DataFrame:
