@@ -3,11 +3,12 @@
 Texts are compared as the letters and figures of their canonical form, lower case.  Tokens are ideographs,
 words and figures; seeds are token n-grams.
 
-1. *Statistics* over the whole corpus: in how many documents every n-gram of the test items occurs
+1. *Statistics* over the whole corpus: in how many documents every n-gram that many test items share occurs
    (partial counts per partition, one small exchange bounded by the items' own n-grams).
-2. *Rare seeds*: an n-gram is common if more than ``COMMON`` of the items or of the documents hold it; a
-   sentence that several items share word for word is a stock instruction.  Neither nominates a pair.
-3. *Seed join*: the rare n-grams of a block of items are broadcast (a block has at most ``BLOCK`` items;
+2. *Seeds*: an n-gram is common if more than ``COMMON`` of the items and of the documents hold it; a
+   sentence that several items share word for word is a stock instruction.  Neither nominates a pair.  What
+   one item alone holds is no stock text, however many documents quote it.
+3. *Seed join*: the seeds of a block of items are broadcast (a block has at most ``BLOCK`` items;
    more items are processed block by block) and documents are looked up against them where they are:
    no document is shuffled, so no hot group can arise.
 4. *Alignment*: for each pair with enough seeds near one diagonal, Smith-Waterman local alignment of the
@@ -34,7 +35,7 @@ from .canonical import canonical
 N = 5
 #: Share of an item's text that has to be found as one passage.
 SHARE = 0.4
-#: An n-gram in more than this share of items or documents (and more than LEAST_COMMON of them) is common.
+#: An n-gram in more than this share of items and of documents (and more than LEAST_COMMON of them) is common.
 COMMON, LEAST_COMMON = 0.002, 3
 BLOCK = 2_000
 #: Least number of seeds near one diagonal, and least share of the item's seeds.  A leak covers two fifths
@@ -104,8 +105,12 @@ class Items:
                 if mask[at[p]]:
                     self.post[h].append((k, at[p]))
         self.seeds = [0] * len(self.ids)
+        self.drop(set())
+
+    def shared(self) -> set[int]:
+        """N-grams that many items hold."""
         most = max(LEAST_COMMON, COMMON * len(self.ids))
-        self.drop({h for h, ps in self.post.items() if len({k for k, _ in ps}) > most})
+        return {h for h, ps in self.post.items() if len({k for k, _ in ps}) > most}
 
     def drop(self, common: set[int]) -> None:
         """Take out common n-grams, except from items that would keep too few."""
@@ -184,7 +189,7 @@ def align(item: str, weight: np.ndarray, text: str) -> int:
 
 
 def candidates(items: Items, toks: list[str], at: list[int]) -> dict[int, list[tuple[int, int]]]:
-    """By item: hits ``(place in document, place in item)`` of rare seeds."""
+    """By item: hits ``(place in document, place in item)`` of seeds."""
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     post = items.post
     for p, h in enumerate(grams(toks)):
@@ -233,9 +238,9 @@ def leaked(items: Items, texts: list[str | None], share: float = SHARE) -> list[
     return out
 
 
-def _document_counts(documents: DataFrame, items: Items) -> tuple[int, dict[int, int]]:
-    """Number of documents, and of those that hold each seed of the items."""
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(items.post))
+def _document_counts(documents: DataFrame, seeds: set[int]) -> tuple[int, dict[int, int]]:
+    """Number of documents, and of those that hold each of the seeds."""
+    shared = documents.sparkSession.sparkContext.broadcast(frozenset(seeds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = shared.value
@@ -261,9 +266,10 @@ def leaks(documents: DataFrame, eval_items: DataFrame, share: float = SHARE) ->
     for block in range(blocks):
         part = eval_items if blocks == 1 else eval_items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         items = Items(sorted((r["item_id"], r["text"]) for r in part.where(F.col("text").isNotNull()).select("item_id", "text").distinct().collect()))
-        n, counts = _document_counts(documents, items)
-        most = max(LEAST_COMMON, COMMON * n)
-        items.drop({h for h, k in counts.items() if k > most})
+        if many := items.shared():
+            n, counts = _document_counts(documents, many)
+            most = max(LEAST_COMMON, COMMON * n)
+            items.drop({h for h, k in counts.items() if k > most})
         shared = spark.sparkContext.broadcast(items)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -202,6 +202,17 @@ def test_leaks(spark):
     assert leakage.leaks(d, e.limit(0)).count() == 0
 
 
+def test_a_passage_of_one_item_in_many_documents_is_no_stock(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(40)) for i in range(20)]
+    passage = " ".join(items[7][1].split()[:24])
+    docs = [(i, f"{text(20)} {passage} {text(20)}") for i in range(9)] + [(100 + i, text(60)) for i in range(40)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, leakage.leaks(d, e).collect())) == [(i, 7) for i in range(9)]
+
+
 # --- mixture --------------------------------------------------------------------------------------------
 
 
