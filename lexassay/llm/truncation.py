@@ -3,7 +3,7 @@
 A stack automaton runs over the last lines of a text: it keeps the open quotes, brackets and formulas and
 reports what is still open at the end.  Together with a broken multibyte sequence, entity, escape or tag,
 a sign of shortening and the kind of ending this gives the *structure* of a text's end.  Two baselines
-over all documents decide what structure alone cannot:
+over all documents decide what structure alone cannot; a group of copies makes neither:
 
 * the field limits of each source: lengths, in characters or bytes, at which unterminated texts pile up.
   At a limit any text without an end mark is cut, also inside an option or a closing line;
@@ -31,7 +31,7 @@ from .sentences import CLOSING, INNER
 
 #: A length is a limit of its source if at least LIMIT_LEAST unterminated texts and LIMIT_SHARE of them have it.
 LIMIT_LEAST, LIMIT_SHARE = 4, 0.06
-#: A line head is that of a closing if at least so many last lines have it and so few of them end with a mark.
+#: A line head is that of a closing if at least so many different texts' last lines have it and so few of them end with a mark.
 CLOSING_LEAST, CLOSING_ENDED = 5, 0.1
 MOST_BROADCAST = 100_000
 TAIL = 500
@@ -150,23 +150,33 @@ def _structure(texts: pa.Array) -> pa.Array:
 
 
 def ends(documents: DataFrame) -> DataFrame:
-    """``doc_id, source`` and the structure of each text's end, computed once."""
-    d = documents.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", "source", _structure(F.col("text")).alias("s"))
-    return cut_lineage(d.select("doc_id", "source", "s.*"))
+    """``doc_id, source, digest`` and the structure of each text's end, computed once."""
+    d = documents.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", "source", F.unhex(F.md5("text")).alias("digest"), _structure(F.col("text")).alias("s"))
+    return cut_lineage(d.select("doc_id", "source", "digest", "s.*"))
 
 
 def field_limits(structures: DataFrame) -> DataFrame:
-    """``source, unit, size``: the lengths at which a source's unterminated texts pile up."""
+    """``source, unit, size``: the lengths at which a source's unterminated texts pile up.
+
+    Different texts are counted.  Copies add weight only to texts that are cut by their structure, and only
+    where another text has the same length: a group of copies alone makes no limit.
+    """
     loose = structures.where(F.col("ending").isin("none", "weak") | F.col("broken"))
+    sure = F.col("broken") | ((F.col("ending") == "none") & ~F.col("closing"))
+    texts = loose.groupBy("source", "digest", "n_chars", "n_bytes", "torn").agg(F.when(F.max(sure), F.count("*")).otherwise(1).alias("n"))
     units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.when(F.col("torn"), F.floor((F.col("n_bytes") + 2) / 3) * 3).otherwise(F.col("n_bytes")).cast("int").alias("size")))
-    by = loose.select("source", F.explode(units).alias("u")).groupBy("source", "u.unit", "u.size").agg(F.count("*").alias("n"))
-    total = by.groupBy("source", "unit").agg(F.sum("n").alias("total"))
-    return by.join(total.withColumnsRenamed({"source": "_s", "unit": "_u"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("unit") == F.col("_u"))).where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= LIMIT_SHARE * F.col("total"))).select("source", "unit", "size")
+    by = texts.select("source", "n", F.explode(units).alias("u")).groupBy("source", "u.unit", "u.size").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    total = by.groupBy("source", "unit").agg(F.sum("texts").alias("all_texts"), F.sum("n").alias("total"))
+    by = by.join(total.withColumnsRenamed({"source": "_s", "unit": "_u"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("unit") == F.col("_u")))
+    by_texts = (F.col("texts") >= LIMIT_LEAST) & (F.col("texts") >= LIMIT_SHARE * F.col("all_texts"))
+    by_copies = (F.col("texts") >= 2) & (F.col("n") >= LIMIT_LEAST) & (F.col("n") >= LIMIT_SHARE * F.col("total"))
+    return by.where(by_texts | by_copies).select("source", "unit", "size")
 
 
 def closing_heads(structures: DataFrame) -> DataFrame:
     """``head``: beginnings of last lines that are closings."""
-    by = structures.where(F.col("head").isNotNull() & (F.col("head") != "")).groupBy("head").agg(F.count("*").alias("n"), F.sum(F.col("ending").isin("end", "ellipsis").cast("long")).alias("ended"))
+    texts = structures.where(F.col("head").isNotNull() & (F.col("head") != "")).select("head", "digest", "ending").distinct()
+    by = texts.groupBy("head").agg(F.count("*").alias("n"), F.sum(F.col("ending").isin("end", "ellipsis").cast("long")).alias("ended"))
     return by.where((F.col("n") >= CLOSING_LEAST) & (F.col("ended") <= CLOSING_ENDED * F.col("n"))).select("head")
 
 
@@ -178,18 +188,18 @@ def _small(df: DataFrame) -> DataFrame:
 def judged(documents: DataFrame) -> DataFrame:
     """``doc_id, source, cut`` for every document with a text."""
     s = ends(documents)
-    limits = _small(cut_lineage(field_limits(s).where(F.col("unit") == "chars").select(F.col("source").alias("_s"), F.col("size").alias("_size")).distinct()))
     heads = _small(cut_lineage(closing_heads(s).withColumn("_closing", F.lit(True))))
-    s = s.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("n_chars") == F.col("_size")), "left").join(heads, "head", "left")
+    s = s.join(heads, "head", "left").withColumn("closing", F.col("closing") | F.coalesce("_closing", F.lit(False)))
+    limits = _small(cut_lineage(field_limits(s).where(F.col("unit") == "chars").select(F.col("source").alias("_s"), F.col("size").alias("_size")).distinct()))
+    s = s.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("n_chars") == F.col("_size")), "left")
     at_limit = F.col("_size").isNotNull()
     loose = F.col("ending") == "none"
-    closing = F.col("closing") | F.coalesce(F.col("_closing"), F.lit(False))
     cut = (
         F.col("broken")
         | F.col("formula")
         | (F.col("sign") & ~F.col("ending").isin("end"))
         | (at_limit & (F.col("ending").isin("none", "weak") | F.col("quote")))
-        | (loose & ~closing)
+        | (loose & ~F.col("closing"))
     )
     return s.select("doc_id", "source", F.coalesce(cut, F.lit(False)).alias("cut"))
 

@@ -281,6 +281,13 @@ def test_field_limits_decide_inside_closing_lines(spark):
     assert truncation.cut_documents(d.limit(0)).count() == 0
 
 
+def test_copies_make_no_closing_and_no_limit(spark):
+    cut, complete = "甲" * 12 + "。\n乙丙丁戊", "甲" * 15 + "。\n来源：丙"
+    rows = [*[(i, cut, "s") for i in range(6)], *[(10 + i, complete, "t") for i in range(6)], *[(20 + i, "己" * (i + 5) + "。", "s") for i in range(5)]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r[0] for r in truncation.cut_documents(d).collect()} == {*range(6)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, name):
     df = queries.queries()[name](spark, SMALL)
