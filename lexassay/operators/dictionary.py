@@ -41,12 +41,16 @@ def cascade(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return w.join(ok, "word", "left").select("word", F.coalesce("how", F.lit("none")).alias("accepted_by"))
 
 
-def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
+#: Longest word whose deletion forms are listed.
+LONGEST = 32
+
+
+def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 3) -> DataFrame:
     """``word, suggestion, distance``: the nearest dictionary word within ``most`` edits; ties by word.
 
     Deletion neighbourhoods: two words within k edits share a form with at most k letters deleted.  Forms are
-    joined by hash, so the search is exact without comparing all pairs; words above 32 letters are left out
-    of the dictionary side as no word.
+    joined by hash, so the search is exact without comparing all pairs.  Where one of the two has more than
+    ``LONGEST`` letters, words whose lengths differ by at most k are compared instead.
     """
 
     def forms(w: Column) -> Column:
@@ -57,9 +61,15 @@ def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataF
             out = F.concat(out, level)
         return F.array_distinct(out)
 
-    a = words.select(F.col("word")).distinct().where(F.length("word").between(2, 32)).select("word", F.explode(forms(F.col("word"))).alias("f")).select("word", F.xxhash64("f").alias("h"))
-    b = dictionary.select(F.col("word").alias("suggestion")).distinct().where(F.length("suggestion").between(2, 32)).select("suggestion", F.explode(forms(F.col("suggestion"))).alias("f")).select("suggestion", F.xxhash64("f").alias("h"))
-    near = a.join(b, "h").select("word", "suggestion").distinct().withColumn("distance", F.levenshtein("word", "suggestion")).where(F.col("distance").between(1, most))
+    a = words.select("word").where(F.length("word") > 0).distinct()
+    b = dictionary.select(F.col("word").alias("suggestion")).where(F.length("suggestion") > 0).distinct()
+    hashed = lambda d, w: d.where(F.length(w) <= LONGEST).select(w, F.explode(forms(F.col(w))).alias("f")).select(w, F.xxhash64("f").alias("h"))
+    short = hashed(a, "word").join(hashed(b, "suggestion"), "h").select("word", "suggestion")
+    n = F.length("word")
+    x = a.where(n > LONGEST - most).select("word", F.explode(F.sequence(n - most, n + most)).alias("n"))
+    y = b.where(F.length("suggestion") > LONGEST - most).select("suggestion", F.length("suggestion").alias("n"))
+    long = x.join(y, "n").where(F.greatest(F.length("word"), "n") > LONGEST).select("word", "suggestion")
+    near = short.union(long).distinct().withColumn("distance", F.levenshtein("word", "suggestion")).where(F.col("distance").between(1, most))
     w = Window.partitionBy("word").orderBy("distance", "suggestion")
     return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

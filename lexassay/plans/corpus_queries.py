@@ -154,6 +154,16 @@ def spell_suggest_top1(spark, folder):
     latin = F.col("token").rlike("^[a-z]{2,32}$")
     v = _item_rows(spark, folder).where(latin).select(F.col("token").alias("word")).distinct()
     w = _rows(spark, folder).where(latin).select(F.col("token").alias("word")).distinct().join(v, "word", "left_anti")
+    return dictionary.suggestions(w, v, 2)
+
+
+@query(f"""WITH {ROWS}, {ITEM_ROWS}, v AS (SELECT DISTINCT token AS s FROM ir WHERE regexp_matches(token, '^[a-z]+$')), w AS (SELECT DISTINCT token AS word FROM r WHERE regexp_matches(token, '^[a-z]+$') AND token NOT IN (SELECT s FROM v)),
+d AS (SELECT word, s, levenshtein(word, s) AS d FROM w, v WHERE abs(length(word) - length(s)) <= 3)
+SELECT word, s AS suggestion, d::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, s) AS n FROM d WHERE d <= 3) WHERE n = 1""")
+def spell_suggest_within3(spark, folder):
+    latin = F.col("token").rlike("^[a-z]+$")
+    v = _item_rows(spark, folder).where(latin).select(F.col("token").alias("word")).distinct()
+    w = _rows(spark, folder).where(latin).select(F.col("token").alias("word")).distinct().join(v, "word", "left_anti")
     return dictionary.suggestions(w, v)
 
 

@@ -224,6 +224,12 @@ def test_suggestions_against_all_pairs(spark):
     assert got == want
 
 
+def test_suggestions_three_edits_away_and_of_any_length(spark):
+    f = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
+    got = dictionary.suggestions(f(["governmnt", "gvrnmet", "x", "ab" * 17, "qqqqqqqq"]), f(["government", "a", "ab" * 16 + "c", "street"]))
+    assert {r["word"]: (r["suggestion"], r["distance"]) for r in got.collect()} == {"governmnt": ("government", 1), "gvrnmet": ("government", 3), "x": ("a", 1), "ab" * 17: ("ab" * 16 + "c", 2)}
+
+
 def test_pinyin(spark):
     assert 390 <= len(pinyin_syllables()) <= 430
     df = spark.createDataFrame([("nihao",), ("zhongguo",), ("xian",), ("street",), ("lve",)], "w string")
