@@ -138,19 +138,70 @@ def writing_rules(sections: DataFrame) -> DataFrame:
     return sections.select("row_id", "section", "item", F.explode(F.filter(hits, lambda x: x["hits"] > 0)).alias("x")).select("row_id", "section", "item", "x.rule", F.col("x.hits").cast("int").alias("hits"))
 
 
+#: The view of the text that a rule reads, where it is not the one without equations.
+WRITING_VIEW = {
+    **dict.fromkeys(("double dots", "speech marks"), "code"),
+    **dict.fromkeys(("double capitals", "a before vowel", "an before consonant", "spaces about dash", "bare minus"), "no_math"),
+}
+#: Rules that need the views or line starts: lines end at \n alone, blanks and figures are those of any script.
+TEX_WRITING = {
+    "eq without brackets": r"(?mdU)(?:^|[ \t~])(?:[eE]qn?s?\.?\\?|[eE]quations?)[\s~]+(?:\\ref|\d)",
+    "full form in sentence": r"(?U)[A-Z,;:a-z]\s+(?:Equation|Reference|Figure|Section)[\s~]*(?:\(?\\ref|\d)",
+    "bare minus": r"(?mdU)(?:^|[ \t~]|[^{\n]\d)-\d",
+}
+
+
+def tex_views(sections: DataFrame) -> DataFrame:
+    """Adds the text without comments and verbatim (``code``), also without equations (``no_equations``), also without inline mathematics (``no_math``)."""
+    code = F.regexp_replace(F.regexp_replace("text", r"(?md)^[ \t]*%.*$", ""), r"(?md)^(.*[^\\\n])%.*$", "$1")
+    for e in ("verbatim", "lstlisting"):
+        code = F.regexp_replace(code, rf"(?s)\\begin\{{{e}\}}.*?\\end\{{{e}\}}", rf"\\begin{{{e}}} \\end{{{e}}}")
+    kinds = r"(?:math|equation\*?|displaymath|eqnarray\*?|align)\}"
+    equations = rf"(?s)(\\begin\{{{kinds}|\\[(\[]).*?(\\end\{{{kinds}|\\[\])])"
+    df = sections.withColumn("code", code).withColumn("no_equations", F.regexp_replace("code", equations, "$1 xxx $2"))
+    inline = F.regexp_replace("no_equations", r"(?s)([^\\])\$\$.*?[^\\]\$\$", r"$1\$xxx\$")
+    return df.withColumn("no_math", F.regexp_replace(inline, r"(?s)([^\\])\$.*?[^\\]\$", r"$1\$xxx\$"))
+
+
+def tex_writing_rules(sections: DataFrame) -> DataFrame:
+    """``row_id, section, item, rule, hits`` of all 22 rules, each on its view of the text."""
+    v = tex_views(sections).withColumn("w", _words("no_equations"))
+    count = lambda k, p: F.size(F.regexp_extract_all(F.col(WRITING_VIEW.get(k, "no_equations")), F.lit(f"({p})"), F.lit(1)))
+    hits = {k: count(k, p) for k, p in (WRITING | TEX_WRITING).items()}
+    hits["full form in sentence"] = F.when(F.col("code").rlike(r"(?d)\\documentclass.*nature"), 0).otherwise(hits["full form in sentence"])
+    hits["repeated word"] = F.size(F.filter(_word_pairs(F.col("w")), _repeated))
+    hits["non-ASCII line"] = _non_ascii("code")
+    x = v.select("row_id", "section", "item", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("rule"), n.alias("hits")) for k, n in hits.items()]), lambda x: x["hits"] > 0)).alias("x"))
+    return x.select("row_id", "section", "item", "x.rule", F.col("x.hits").cast("int").alias("hits"))
+
+
+def _words(text: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]+|[^A-Za-z \t\n]+)"), F.lit(1)), lambda w: F.lower(w))
+
+
+def _word_pairs(w: Column) -> Column:
+    """Each word with the one before."""
+    return F.arrays_zip(F.slice(w, 2, F.size(w)).alias("word"), w.alias("before"))
+
+
+def _repeated(x: Column) -> Column:
+    return (x["word"] == x["before"]) & x["word"].rlike("^[a-z]{2,}$")
+
+
+def _non_ascii(text: str) -> Column:
+    return F.size(F.filter(F.split(text, "\n"), lambda l: l.rlike("[^ -~\t]")))
+
+
 def repeated_words(sections: DataFrame) -> DataFrame:
     """A Latin word that equals the word before it: ``row_id, section, item, pos, word``."""
-    words = F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]+|[^A-Za-z \t\n]+)"), F.lit(1)), lambda w: F.lower(w))
-    w = sections.select("row_id", "section", "item", words.alias("w")).where(F.size("w") > 1)
-    beside = F.arrays_zip(F.slice("w", 2, F.size("w")).alias("word"), F.col("w").alias("before"))  # each word with the one before
-    x = w.select("row_id", "section", "item", F.posexplode(beside).alias("pos", "x"))
-    return x.where((F.col("x.word") == F.col("x.before")) & F.col("x.word").rlike("^[a-z]{2,}$")).select("row_id", "section", "item", (F.col("pos") + 1).alias("pos"), F.col("x.word").alias("word"))
+    w = sections.select("row_id", "section", "item", _words("text").alias("w")).where(F.size("w") > 1)
+    x = w.select("row_id", "section", "item", F.posexplode(_word_pairs(F.col("w"))).alias("pos", "x"))
+    return x.where(_repeated(F.col("x"))).select("row_id", "section", "item", (F.col("pos") + 1).alias("pos"), F.col("x.word").alias("word"))
 
 
 def non_ascii_lines(sections: DataFrame) -> DataFrame:
     """Numbers of lines with characters outside printable ASCII: ``row_id, section, item, n_lines``."""
-    n = F.size(F.filter(F.split("text", "\n"), lambda l: l.rlike("[^ -~\t]")))
-    return sections.select("row_id", "section", "item", n.alias("n_lines")).where("n_lines > 0")
+    return sections.select("row_id", "section", "item", _non_ascii("text").alias("n_lines")).where("n_lines > 0")
 
 
 def serial_labels(sections: DataFrame) -> DataFrame:

@@ -122,6 +122,12 @@ def tex_rules(spark, folder):
     return rules.writing_rules(document_sections(table(spark, folder, "documents")))
 
 
+# Views with lazy matches and rules on lines: tested against Python's patterns instead.
+@query()
+def tex_rules_views(spark, folder):
+    return rules.tex_writing_rules(document_sections(table(spark, folder, "documents")))
+
+
 @query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z \t\n]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL)
 SELECT doc_id AS row_id, 'text' AS section, 0 AS item, (i - 1)::INT AS pos, w[i] AS word FROM (SELECT *, unnest(range(2, len(w) + 1)) AS i FROM w) WHERE w[i] = w[i - 1] AND regexp_matches(w[i], '^[a-z]{2,}$')""")
 def repeated_words(spark, folder):

@@ -230,6 +230,25 @@ def test_suggestions_three_edits_away_and_of_any_length(spark):
     assert {r["word"]: (r["suggestion"], r["distance"]) for r in got.collect()} == {"governmnt": ("government", 1), "gvrnmet": ("government", 3), "x": ("a", 1), "ab" * 17: ("ab" * 16 + "c", 2)}
 
 
+def test_tex_rules_on_their_views(spark):
+    texts = [
+        "See Equation 3.\nas in Figure 2, by eq \\ref{a}",
+        "% an big a apple\nfine % a apple\nhalf 50\\% a apple",
+        "\\begin{verbatim}a apple\\end{verbatim} x \\begin{equation}a apple -3\\end{equation} y",
+        "so $a apple -3$ and -4",
+        "\\documentclass{nature}\nas in Figure 2",
+        "the the $x$",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").select("row_id", F.lit("text").alias("section"), F.lit(0).alias("item"), "text")
+    views = {r["row_id"]: (r["code"], r["no_equations"], r["no_math"]) for r in rules.tex_views(d).collect()}
+    assert views[1][0] == "\nfine \nhalf 50\\% a apple"
+    assert views[2][0].startswith("\\begin{verbatim} \\end{verbatim} x ")
+    assert views[2][1] == "\\begin{verbatim} \\end{verbatim} x \\begin{equation} xxx \\end{equation} y"
+    assert views[3][1:] == (texts[3], "so $xxx$ and -4")
+    got = {(r["row_id"], r["rule"]): r["hits"] for r in rules.tex_writing_rules(d).collect()}
+    assert got == {(0, "full form in sentence"): 2, (0, "eq without brackets"): 2, (1, "a before vowel"): 1, (3, "bare minus"): 1, (5, "repeated word"): 1}
+
+
 def test_pinyin(spark):
     assert 390 <= len(pinyin_syllables()) <= 430
     df = spark.createDataFrame([("nihao",), ("zhongguo",), ("xian",), ("street",), ("lve",)], "w string")
