@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -155,6 +155,11 @@ def ends(documents: DataFrame) -> DataFrame:
     return cut_lineage(d.select("doc_id", "source", "digest", "s.*"))
 
 
+def _byte_size() -> Column:
+    """Length in bytes; that of a torn text with the character it lost."""
+    return F.when(F.col("torn"), F.floor((F.col("n_bytes") + 2) / 3) * 3).otherwise(F.col("n_bytes")).cast("int")
+
+
 def field_limits(structures: DataFrame) -> DataFrame:
     """``source, unit, size``: the lengths at which a source's unterminated texts pile up.
 
@@ -164,7 +169,7 @@ def field_limits(structures: DataFrame) -> DataFrame:
     loose = structures.where(F.col("ending").isin("none", "weak") | F.col("broken"))
     sure = F.col("broken") | ((F.col("ending") == "none") & ~F.col("closing"))
     texts = loose.groupBy("source", "digest", "n_chars", "n_bytes", "torn").agg(F.when(F.max(sure), F.count("*")).otherwise(1).alias("n"))
-    units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.when(F.col("torn"), F.floor((F.col("n_bytes") + 2) / 3) * 3).otherwise(F.col("n_bytes")).cast("int").alias("size")))
+    units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), _byte_size().alias("size")))
     by = texts.select("source", "n", F.explode(units).alias("u")).groupBy("source", "u.unit", "u.size").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
     total = by.groupBy("source", "unit").agg(F.sum("texts").alias("all_texts"), F.sum("n").alias("total"))
     by = by.join(total.withColumnsRenamed({"source": "_s", "unit": "_u"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("unit") == F.col("_u")))
@@ -190,9 +195,12 @@ def judged(documents: DataFrame) -> DataFrame:
     s = ends(documents)
     heads = _small(cut_lineage(closing_heads(s).withColumn("_closing", F.lit(True))))
     s = s.join(heads, "head", "left").withColumn("closing", F.col("closing") | F.coalesce("_closing", F.lit(False)))
-    limits = _small(cut_lineage(field_limits(s).where(F.col("unit") == "chars").select(F.col("source").alias("_s"), F.col("size").alias("_size")).distinct()))
-    s = s.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("n_chars") == F.col("_size")), "left")
-    at_limit = F.col("_size").isNotNull()
+    for unit, size in (("chars", F.col("n_chars")), ("bytes", _byte_size())):
+        # texts at a limit in characters pile up near some lengths in bytes too
+        rest = s if unit == "chars" else s.where(F.col("_chars").isNull())
+        of = _small(cut_lineage(field_limits(rest).where(F.col("unit") == unit).select(F.col("source").alias("_s"), F.col("size").alias(f"_{unit}"))))
+        s = s.join(of, F.col("source").eqNullSafe(F.col("_s")) & (size == F.col(f"_{unit}")), "left").drop("_s")
+    at_limit = F.col("_chars").isNotNull() | F.col("_bytes").isNotNull()
     loose = F.col("ending") == "none"
     cut = (
         F.col("broken")

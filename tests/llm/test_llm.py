@@ -288,6 +288,13 @@ def test_copies_make_no_closing_and_no_limit(spark):
     assert {r[0] for r in truncation.cut_documents(d).collect()} == {*range(6)}
 
 
+def test_byte_limits_decide_inside_closing_lines(spark):
+    closing = "甲" * 20 + "。\n来源：" + "丙" * 4
+    rows = [(i, "甲" * (10 + i) + "a" * (70 - 3 * i), "s") for i in range(8)] + [(50, closing + "a" * (100 - len(closing.encode())), "s"), (51, closing, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r[0] for r in truncation.cut_documents(d).collect()} == {*range(8), 50}
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, name):
     df = queries.queries()[name](spark, SMALL)
