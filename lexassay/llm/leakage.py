@@ -3,26 +3,31 @@
 Texts are compared as the letters and figures of their canonical form, lower case.  Tokens are ideographs,
 words and figures; seeds are token n-grams.
 
-1. *Statistics* over the whole corpus: in how many documents every n-gram that many test items share occurs
-   (partial counts per partition, one small exchange bounded by the items' own n-grams).
-2. *Seeds*: an n-gram is common if more than ``COMMON`` of the items and of the documents hold it; a
-   sentence that several items share word for word is a stock instruction.  Neither nominates a pair.  What
-   one item alone holds is no stock text, however many documents quote it.
-3. *Seed join*: the seeds of a block of items are broadcast (a block has at most ``BLOCK`` items;
-   more items are processed block by block) and documents are looked up against them where they are:
-   no document is shuffled, so no hot group can arise.
-4. *Alignment*: for each pair with enough seeds near one diagonal, Smith-Waterman local alignment of the
-   item with that stretch of the document, scored on characters; the pair is kept if the characters of
-   the item that are matched in the one best passage reach ``SHARE`` of its text.
-
-Null or empty texts give no rows, repeated documents are each reported, texts are compared whole.
+1. *Classes*: items of equal text are one class with its members.
+2. *Statistics* over all items, by exchanges bounded by the items' own text: how many classes hold each
+   sentence and each n-gram.  A sentence that ``STOCK`` classes share word for word is a stock instruction:
+   it gives no seeds and counts neither as matched, unless the item would keep less than ``SHARE`` of itself.
+3. *Seeds*: an n-gram weighs the less the more classes hold it (inverse document frequency).  The seeds of an
+   item are its n-grams, rarest first, up to ``KEPT`` of their weight.  How many documents quote an n-gram
+   does not matter: a popular leak keeps all its seeds.
+4. *Seed join*: the seeds are broadcast in blocks of at most ``BLOCK_BYTES`` of text and documents are looked
+   up against them where they are: no document is shuffled, so no hot group can arise.  The statistics are
+   those of all items, so the answer does not depend on the blocks.
+5. *Alignment*: for each pair whose seeds near one diagonal weigh at least ``SEED_SHARE`` of the item's,
+   Smith-Waterman local alignment of the item with that stretch of the document, scored on characters; the
+   pair is kept if the characters of the item that are matched in the one best passage reach ``SHARE``.
+
+Short items have shorter seeds, down to ``SHORTEST`` tokens and at most the whole item.
+Null or empty texts give no rows, repeated documents and equal items are each reported, texts are compared whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import md5
 from itertools import accumulate
 
 import numpy as np
@@ -30,103 +35,149 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexassay.functions.lineage import cut_lineage
+
 from .canonical import canonical
 
-N = 5
+N, SHORTEST = 5, 3
 #: Share of an item's text that has to be found as one passage.
 SHARE = 0.4
-#: An n-gram in more than this share of items and of documents (and more than LEAST_COMMON of them) is common.
-COMMON, LEAST_COMMON = 0.002, 3
-BLOCK = 2_000
-#: Least number of seeds near one diagonal, and least share of the item's seeds.  A leak covers two fifths
-#: of the item, so even with every second of its n-grams edited it shows twice this share.
-LEAST_SEEDS, SEED_SHARE = 3, 0.1
-#: An item that keeps less than this share of its n-grams as rare seeds keeps them all.
-LEAST_RARE = 0.2
+#: So many classes of items sharing a sentence (of more than LEAST_STOCK characters) make it stock text.
+STOCK, LEAST_STOCK = 3, 5
+#: Share of the weight of its n-grams that an item keeps as seeds, the rarest first.
+KEPT = 0.9
+#: Text of the items looked up at once.
+BLOCK_BYTES = 16 << 20
+#: Least share of the weight of an item's seeds near one diagonal.  A leak covers two fifths of the item, so
+#: even with every second of its n-grams edited it shows twice this share.
+SEED_SHARE = 0.1
 MATCH, MISMATCH, GAP = 2, -3, -3
 
-_CJK = "㐀-鿿豈-﫿\U00020000-\U0003ffff぀-ヿ"
+_CJK = "㐀-鿿豈-﫿\U00020000-\U0003ffff぀-ヿ"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
+_SENTENCE_END = re.compile(r"(?<=[。.!?！？])\s*|\n+")
 
 
-def tokens(text: str) -> tuple[list[str], list[int], str]:
-    """Tokens, the place of each in the bare text, and the bare text."""
-    text = canonical(text).lower()
-    toks = _TOKEN.findall(text)
-    at = list(accumulate(map(len, toks), initial=0))
-    return toks, at, "".join(toks)
+def _find_tokens(canonical_text: str) -> list[str]:
+    return _TOKEN.findall(canonical_text.lower())
 
 
-def grams(toks: list[str], n: int = N) -> list[int]:
-    """Hashes of token n-grams.  Tuples of integers hash alike in every process."""
-    ids = [_hashes[t] for t in toks]
-    return list(map(hash, zip(*[ids[i:] for i in range(n)])))
+def tokens(text: str) -> tuple[list[str], list[int], str]:
+    """Tokens, the place of each in the bare text, and the bare text."""
+    toks = _find_tokens(canonical(text))
+    return toks, list(accumulate(map(len, toks), initial=0)), "".join(toks)
 
 
 class _Hashes(dict):
     def __missing__(self, t: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        h = 1469598103934665603
-        for b in t.encode("utf-8", "surrogatepass"):
-            h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-        self[t] = h
+        self[t] = h = int.from_bytes(md5(t.encode("utf-8", "surrogatepass")).digest()[:8], "little")
         return h
 
 
 _hashes = _Hashes()
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
-_SENTENCE_END = re.compile(r"(?<=[。.!?！？])\s*|\n+")
+def grams(toks: list[str], n: int = N) -> np.ndarray:
+    """Hashes of the token n-grams of a text."""
+    return _grams(np.fromiter(map(_hashes.__getitem__, toks), np.uint64, len(toks)), n)
+
+
+def _grams(ids: np.ndarray, n: int) -> np.ndarray:
+    size = max(0, len(ids) - n + 1)
+    h = np.zeros(size, np.uint64)
+    for j in range(n):
+        h += ids[j : j + size] * _FACTORS[j]
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def seed_length(n_tokens: int) -> int:
+    """Tokens of a seed: no longer than the passage that makes a case, nor than the item."""
+    return min(N, n_tokens, max(SHORTEST, math.ceil(SHARE * n_tokens)))
+
+
+# --- items ----------------------------------------------------------------------------------------------
+
+_PARTS = "cls binary, item_id long, bare string, at array<int>, ends array<int>, keys array<long>"
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items as bare text with the places of their tokens, the ends of their sentences, and the hashes of
+    sentences (odd) and n-grams (even)."""
+    for b in batches:
+        rows = []
+        for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+            toks, ends, keys = [], [], []
+            for piece in _SENTENCE_END.split(canonical(text)):
+                if own := _find_tokens(piece):
+                    toks += own
+                    ends.append(len(toks))
+                    keys.append(int.from_bytes(md5("".join(own).encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True) | 1)
+            if toks:
+                bare = "".join(toks)
+                at = list(accumulate(map(len, toks), initial=0))
+                keys += (grams(toks, seed_length(len(toks))).view(np.int64) & ~1).tolist()
+                rows.append((md5(bare.encode("utf-8", "surrogatepass")).digest(), item, bare, at, ends, keys))
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = [pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["cls", "item_id", "bare", "at", "ends", "keys"])
+
+
+def item_classes(eval_items: DataFrame) -> DataFrame:
+    """``cls, bare, at, ends, keys, ids, shared``: one row for each different item text.
+
+    ``shared`` maps the hashes of its sentences and n-grams that other classes hold as well to the number
+    of classes that do.
+    """
+    parts = eval_items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(_parts, _PARTS)
+    first = ("bare", "at", "ends", "keys")
+    classes = cut_lineage(parts.groupBy("cls").agg(*[F.first(c).alias(c) for c in first], F.sort_array(F.collect_set("item_id")).alias("ids")))
+    keys = classes.select("cls", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    by_class = keys.join(shared, "key").groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("shared"))
+    return cut_lineage(classes.join(by_class, "cls", "left"))
 
 
 class Items:
-    """Test items prepared for lookup."""
+    """The items of one block prepared for lookup; ``total`` is the number of classes of all blocks."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int = N) -> None:
-        self.ids = [i for i, t in rows if t]
-        self.bare: list[str] = []
+    def __init__(self, rows: list, total: int) -> None:
+        self.ids = [list(r["ids"]) for r in rows]
+        self.bare: list[str] = [r["bare"] for r in rows]
         self.stock: list[np.ndarray] = []
-        self.size: list[int] = []
-        self.post: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        shared = Counter(s for _, t in rows if t for s in {tokens(p)[2] for p in _SENTENCE_END.split(canonical(t))} if s)
-        usual = [s for s, k in shared.items() if k >= max(LEAST_COMMON, COMMON * len(rows) / 4) and len(s) > 5]
-        for k, (_, t) in enumerate([r for r in rows if r[1]]):
-            toks, at, bare = tokens(t)
-            mask = np.ones(len(bare), np.int64)
-            for s in usual:
-                j = bare.find(s)
-                if j >= 0:
-                    mask[j : j + len(s)] = 0
-            self.bare.append(bare)
+        self.size = [len(t) for t in self.bare]
+        self.weight = np.zeros(len(rows))
+        found: dict[int, list] = defaultdict(list)
+        for k, r in enumerate(rows):
+            at, ends, keys, shared = np.array(r["at"]), r["ends"], r["keys"], r["shared"] or {}
+            mask = np.ones(self.size[k], np.int64)
+            for a, b, key in zip([0, *ends], ends, keys):
+                if shared.get(key, 1) >= STOCK and at[b] - at[a] > LEAST_STOCK:
+                    mask[at[a] : at[b]] = 0
+            if mask.sum() < SHARE * self.size[k]:
+                mask[:] = 1
             self.stock.append(mask)
-            self.size.append(len(bare))
-            for p, h in enumerate(grams(toks, n)):
-                if mask[at[p]]:
-                    self.post[h].append((k, at[p]))
-        self.seeds = [0] * len(self.ids)
-        self.drop(set())
-
-    def shared(self) -> set[int]:
-        """N-grams that many items hold."""
-        most = max(LEAST_COMMON, COMMON * len(self.ids))
-        return {h for h, ps in self.post.items() if len({k for k, _ in ps}) > most}
-
-    def drop(self, common: set[int]) -> None:
-        """Take out common n-grams, except from items that would keep too few."""
-        total, rare = Counter(), Counter()
-        for h, ps in self.post.items():
-            for k, _ in ps:
-                total[k] += 1
-                rare[k] += h not in common
-        whole = {k for k in total if rare[k] < LEAST_RARE * total[k]}
-        post = {}
-        for h, ps in self.post.items():
-            kept = ps if h not in common else [(k, q) for k, q in ps if k in whole]
-            if kept:
-                post[h] = kept
-        self.post = post
-        self.seeds = [total[k] if k in whole else rare[k] for k in range(len(self.ids))]
+            n = seed_length(len(at) - 1)
+            own = np.array(keys[len(ends) :], np.int64)
+            held = np.array([shared.get(x, 1) for x in keys[len(ends) :]], np.float64)
+            where = np.flatnonzero(mask[at[: len(own)]] if len(own) else [])
+            weight = np.log1p(total / held[where]) / math.log1p(total)
+            # rarest first, up to KEPT of the weight; n-grams as rare as the last one stay too
+            order = np.argsort(-weight, kind="stable")
+            enough = np.searchsorted(np.cumsum(weight[order]), KEPT * weight.sum() - 1e-9)
+            kept = weight >= weight[order[min(enough, len(order) - 1)]] - 1e-12 if len(order) else np.zeros(0, bool)
+            self.weight[k] = weight[kept].sum()
+            where, weight = where[kept], weight[kept]
+            found[n].append((own[where], np.full(len(where), k), at[where], weight))
+        #: By length of seed: hashes in order, and of each posting its item, place in the item and weight.
+        self.seeds = {}
+        for n, parts in found.items():
+            key, item, place, weight = map(np.concatenate, zip(*parts))
+            order = np.argsort(key, kind="stable")
+            self.seeds[n] = (key[order], item[order].astype(np.int32), place[order].astype(np.int32), weight[order].astype(np.float32))
 
 
 #: Alignments computed side by side.
@@ -134,7 +185,7 @@ SIDE_BY_SIDE = 48
 
 
 def align_many(items: list[str], weights: list[np.ndarray], texts: list[str]) -> list[int]:
-    """For each item the characters (counted by its weights) matched in its best local alignment with its text.
+    """For each item the characters matched in its best local alignment with its text; weight 0: not counted.
 
     Smith-Waterman with linear gaps, a row at a time and many pairs side by side.  Score and matched
     characters share one integer, so that the best score carries its count along.
@@ -163,7 +214,7 @@ def _align_block(items: list[str], weights: list[np.ndarray], texts: list[str])
     for i, x in enumerate(weights):
         w[i, : len(x)] = x
     gap, miss, one = np.int64(-GAP) << bits, np.int64(MISMATCH) << bits, np.int64(1) << bits
-    hit = (np.int64(MATCH) << bits) + w
+    hit = w * ((np.int64(MATCH) << bits) + 1)  # what does not count scores nothing, else stock text could be the best passage
     ramp = np.arange(t.shape[1] + 1, dtype=np.int64) * gap
     row = np.zeros((len(items), t.shape[1] + 1), np.int64)
     new = np.zeros_like(row)
@@ -188,26 +239,31 @@ def align(item: str, weight: np.ndarray, text: str) -> int:
     return align_many([item], [weight], [text])[0]
 
 
-def candidates(items: Items, toks: list[str], at: list[int]) -> dict[int, list[tuple[int, int]]]:
-    """By item: hits ``(place in document, place in item)`` of seeds."""
-    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    post = items.post
-    for p, h in enumerate(grams(toks)):
-        got = post.get(h)
-        if got:
-            for k, q in got:
-                hits[k].append((at[p], q))
-    return hits
-
-
-def stretches(items: Items, k: int, hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """Stretches of a document around the diagonals with enough seeds of item ``k``, densest first."""
-    size = items.size[k]
+def hits(items: Items, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Seeds found in texts given as one array of token hashes: token, item, place in the item, weight of each hit."""
+    out = []
+    for n, (keys, item, place, weight) in items.seeds.items():
+        h = _grams(ids, n).view(np.int64) & ~1
+        lo = np.searchsorted(keys, h, "left")
+        at = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == h) if len(keys) else np.zeros(0, np.int64)
+        text = np.searchsorted(starts, at, "right")
+        at = at[np.searchsorted(starts, at + n - 1, "right") == text]  # within one text
+        lo = lo[at]
+        many = np.searchsorted(keys, h[at], "right") - lo
+        posting = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        out.append((np.repeat(at, many), item[posting], place[posting], weight[posting]))
+    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 4
+
+
+def stretches(size: int, least: float, diagonals: list[int], weights: list[float], length: int) -> list[tuple[int, int]]:
+    """Stretches of a document around the diagonals whose seeds weigh at least ``least``, densest first."""
     slack = max(24, size // 5)
-    bands: Counter = Counter((d - q) // slack for d, q in hits)
+    bands: Counter = Counter()
+    for d, w in zip(diagonals, weights):
+        bands[d // slack] += w
     out: list[tuple[int, int]] = []
     for band, _ in bands.most_common():
-        if bands[band] + max(bands.get(band + 1, 0), bands.get(band - 1, 0)) < max(LEAST_SEEDS, SEED_SHARE * items.seeds[k]):
+        if bands[band] + max(bands.get(band + 1, 0), bands.get(band - 1, 0)) < least:
             continue
         lo, hi = max(0, (band - 1) * slack), min(length, (band + 2) * slack + size)
         if not any(a <= lo + slack and hi - slack <= b for a, b in out):
@@ -216,61 +272,55 @@ def stretches(items: Items, k: int, hits: list[tuple[int, int]], length: int) ->
 
 
 def leaked(items: Items, texts: list[str | None], share: float = SHARE) -> list[tuple[int, int]]:
-    """``(place in texts, item id)`` of the items found in texts."""
-    waiting = []
+    """``(place in texts, item id)`` of the items found in texts; equal texts are judged once."""
+    copies: dict[str, list[int]] = defaultdict(list)
     for n, text in enumerate(texts):
-        if not text:
-            continue
-        toks, at, bare = tokens(text)
-        for k, hits in candidates(items, toks, at).items():
-            if len(hits) >= max(LEAST_SEEDS, SEED_SHARE * items.seeds[k]) and (where := stretches(items, k, hits, len(bare))):
-                waiting.append((n, k, bare, where))
-    out, turn = [], 0
+        if text:
+            copies[text].append(n)
+    if not copies or not items.seeds:
+        return []
+    own = [tokens(t) for t in copies]
+    starts = np.cumsum([0] + [len(toks) for toks, _, _ in own])
+    ids = np.fromiter((_hashes[t] for toks, _, _ in own for t in toks), np.uint64, int(starts[-1]))
+    at, item, place, weight = hits(items, ids, starts[1:])
+    text = np.searchsorted(starts[1:], at, "right")
+    pair, group = np.unique(text * len(items.ids) + item, return_inverse=True)
+    least = SEED_SHARE * items.weight[pair % len(items.ids)] - 1e-6
+    enough = np.bincount(group, weight, len(pair)) >= least if len(pair) else np.zeros(0, bool)
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(len(pair) + 1))
+    waiting = []
+    for p in np.flatnonzero(enough).tolist():
+        t, k = divmod(int(pair[p]), len(items.ids))
+        own_hits = order[bounds[p] : bounds[p + 1]]
+        places = own[t][1]
+        diagonals = [places[i - starts[t]] - q for i, q in zip(at[own_hits].tolist(), place[own_hits].tolist())]
+        if where := stretches(items.size[k], least[p], diagonals, weight[own_hits].tolist(), places[-1]):
+            waiting.append((t, k, where))
+    found, turn = [], 0
     while waiting:  # the densest stretch of every pair first, the next one only where that was not enough
-        got = align_many([items.bare[k] for _, k, _, _ in waiting], [items.stock[k] for _, k, _, _ in waiting], [bare[slice(*where[turn])] for _, _, bare, where in waiting])
+        got = align_many([items.bare[k] for _, k, _ in waiting], [items.stock[k] for _, k, _ in waiting], [own[t][2][slice(*where[turn])] for t, _, where in waiting])
         rest = []
-        for pair, found in zip(waiting, got):
-            if found >= share * items.size[pair[1]]:
-                out.append((pair[0], items.ids[pair[1]]))
-            elif len(pair[3]) > turn + 1:
+        for pair, n in zip(waiting, got):
+            if n >= share * items.size[pair[1]]:
+                found.append(pair[:2])
+            elif len(pair[2]) > turn + 1:
                 rest.append(pair)
         waiting, turn = rest, turn + 1
-    return out
-
-
-def _document_counts(documents: DataFrame, seeds: set[int]) -> tuple[int, dict[int, int]]:
-    """Number of documents, and of those that hold each of the seeds."""
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(seeds))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
-        n: Counter = Counter()
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                n[-1] += 1
-                if text:
-                    n.update(seeds.intersection(grams(tokens(text)[0])))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["seed", "n"])
-
-    rows = documents.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    counts = {r["seed"]: r["n"] for r in rows}
-    return counts.pop(-1, 0), counts
+    where = list(copies.values())
+    return [(n, i) for t, k in found for n in where[t] for i in items.ids[k]]
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, share: float = SHARE) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id`` for every document that contains an item, wholly or in part."""
     spark = documents.sparkSession
-    total = eval_items.where(F.col("text").isNotNull()).count()
-    blocks = max(1, -(-total // BLOCK))
+    classes = item_classes(eval_items)
+    size = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("bare") + 8 * F.size("ids")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["bytes"] // block_bytes))
     out = None
     for block in range(blocks):
-        part = eval_items if blocks == 1 else eval_items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        items = Items(sorted((r["item_id"], r["text"]) for r in part.where(F.col("text").isNotNull()).select("item_id", "text").distinct().collect()))
-        if many := items.shared():
-            n, counts = _document_counts(documents, many)
-            most = max(LEAST_COMMON, COMMON * n)
-            items.drop({h for h, k in counts.items() if k > most})
-        shared = spark.sparkContext.broadcast(items)
+        part = classes.where(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast(Items(part.collect(), size["n"]))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
