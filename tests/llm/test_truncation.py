@@ -58,8 +58,8 @@ def test_the_automaton_reads_the_whole_text():
 
 def test_sources_are_judged_by_their_own_habits(spark):
     # source a closes its pairs, source b lists with open brackets only
-    rows = [(i, f"The harbour (It is of town {i}.) is old.", "a") for i in range(40)] + [(50, "The harbour (It is of town.", "a")]
-    rows += [(200 + i, f"1( the harbour is of town {i}.", "b") for i in range(40)]
+    rows = [(i, f"The harbour (It is of town {'x' * i}.) is old.", "a") for i in range(40)] + [(50, "The harbour (It is of town.", "a")]
+    rows += [(200 + i, f"1( the harbour is of town {'x' * i}.", "b") for i in range(40)]
     got = _cut(spark, rows)
     assert 50 in got and not [x for x in got if x >= 200]
 
