@@ -1,16 +1,21 @@
 """Sentence units of texts in any language, as spans of the stored text.
 
-Boundary rules are compiled into a finite transducer.  One regular expression yields the events of a
-text (line ends, end marks, abbreviations, labels, quotation marks); the transducer walks over them.
-Its state is one small integer: *nothing but labels so far*, *inside a sentence*, or *inside a
-quotation of kind k, introduced or not*.  Outputs are cuts ``(end of the sentence before, place after)``.
-
-Texts of at most ``CHUNK`` code points are walked at once.  Longer ones are cut into chunks with some
-context on either side; every chunk becomes a state-transition function (one exit state and one list
-of cuts for each entry state), the functions are composed by a prefix scan over the chunks of a text,
-and each chunk then contributes the cuts of the entry state so found.  Cuts inside a quotation stay
-*pending*: they hold only if the quotation is never closed in its paragraph, which a later chunk may
-have to tell.
+The boundary rules are compiled into a finite transducer.  One regular expression reads a text as symbols
+(line ends, end marks, quotation signs, each with what a bounded window around it tells); a table compiled
+from the rules holds for every symbol and state the next state and whether a sentence ends there.  States:
+*nothing but labels so far*, *inside a sentence*, *inside a quotation of kind k, introduced or not*.
+
+What lies further ahead than the window - whether a formula or a quotation is closed before the line ends -
+is told by a second automaton that reads from right to left; formulas and quotations never closed on their
+line are plain signs.
+
+Every text is processed as chunks of about ``CHUNK`` code points.  A text of one chunk is walked where it is.
+The chunks of a longer text are spread over tasks; each becomes a state-transition function (exit state and
+number of cuts by entry state); the functions are composed by a parallel prefix scan in blocks (within
+blocks of ``FAN_IN`` chunks side by side, over the blocks, and back), and each chunk then yields the pieces
+of its entry state.  Pieces that chunk ends tear are joined by their number, counted through the same scan;
+no task ever holds a whole text or all its sentences again.  Chunk ends lie between two letters or figures and
+in no label, so every window and every run of signs lies on one side, and the result does not depend on them.
 
 Nulls, empty and blank texts have no sentences.  Characters that draw nothing count as blank at the
 ends of a sentence and are looked through inside it.
@@ -22,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -30,7 +35,10 @@ from pyspark.sql.functions import arrow_udf
 from .canonical import LOOKALIKES, RANGES, _fold_char
 
 CHUNK = 8192
-CONTEXT = 96
+#: Characters that a rule may look at around a sign, and those a chunk carries on either side.
+WINDOW, CONTEXT = 64, 96
+#: Chunks composed in one block; a string has at most FAN_IN ** 2 chunks.
+FAN_IN = 1024
 
 # Abbreviations that never close a sentence, and those that may.
 INNER = "Mr Mrs Ms Messrs Dr Prof Capt Col Gen Lt Sgt Rev Hon Pres Gov Sen Rep St Mt Ft Fig Figs No Nos Vol Vols Ver Dept Sec Sect Ch Chap Art Eq Ex Exs Ed Eds Tab Ref Refs pp p ed eds vs cf eg ie approx incl excl viz al resp ca env z.B d.h bzw c.-à-d p.ex М М-р г-н г-жа т.е т.к т.н напр см".split()
@@ -48,10 +56,9 @@ N_STATES = 2 + 2 * len(QUOTES)
 _CJK = "⺀-⿿\u3040-ヿ㐀-鿿가-\ud7af豈-\ufaff\U00020000-\U0003ffff"
 _SCAN = re.compile(rf"\.{{2,}}|\.(?![0-9A-Za-z])|[\n$“”‘’「」『』«»„\"《》〈〉{re.escape(MARKS[1:])}]")
 _RUN = re.compile(f"[{re.escape(MARKS)}]+")
-_FORMULA = re.compile(r"\$[^$\n]{1,4000}\$")
 #: What may stand before the first words of a sentence without being one.
 _LABEL = re.compile(
-    r"""\s*(?:[\[(【](?=[^\])】\n]{0,40}\d)[^\])】\n]{1,40}[\])】] | Q\d[\d-]*: | 例\s?\d+ | 第?\d{1,3}[.、)](?!\d)
+    r"""\s*(?:[\[(【](?=[^\])】\n]{0,40}\d)[^\])】\n]{1,40}[\])】] | Q\d[\d-]{0,12}: | 例\s?\d{1,6} | 第?\d{1,3}[.、)](?!\d)
       | [A-H][.、](?=\S) | (?:解|析|分析|答|解答|证明|Solution|Answer): )\s*""",
     re.X,
 )
@@ -62,7 +69,6 @@ _CJK_RE = re.compile(f"[{_CJK}]")
 _GOES_ON = re.compile(r"\s*(?:[a-zß-öø-ÿа-яё]|[,、;:,;:.。!?…)\]】—–-])")
 _NEW_WORD = re.compile(rf"\s*(?:[^\W_{_CJK}])|\s+[\[(\"“«]|\s*\Z|\s*\n")
 _INTRODUCED = re.compile(r"[,:]\s*\Z")
-_OPEN_BRACKET = re.compile(r"[\[(【][^\])】]*\Z")
 _INITIAL_NEXT = re.compile(r"\s+[^\W\d_]")
 _ANSWER_BEFORE = re.compile(r"(?:choose|pick|select|answer|is|are|option|[::选为是])\s*\Z", re.I)
 
@@ -91,9 +97,108 @@ def _clean(text: str) -> tuple[str, list[int] | None]:
     return text.replace("\0", ""), at
 
 
-def _events(s: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
-    """Events that begin in ``s[lo:hi]``: (kind, start, end); kinds are 0 line end, 1 end mark, 2 quotation sign."""
-    out, skip = [], lo
+def _kinds(sign: str) -> tuple[int, int]:
+    o = next((k for k, q in enumerate(QUOTES) if q[0] == sign), -1)
+    c = next((k for k, q in enumerate(QUOTES) if q[1] == sign), -1)
+    return o, c
+
+
+_SIGN = {s: _kinds(s) for q in QUOTES for s in q}
+
+
+# --- the transducer -------------------------------------------------------------------------------------
+
+# Symbols: a line end, an end mark, and quotation signs with what the windows tell about them.
+LINE, MARK, PLAIN = 0, 1, 2
+_SYMBOLS: dict[tuple, int] = {}
+
+
+def _compile() -> list[list[int]]:
+    """The table: for every symbol and state twice the next state, plus one if a sentence ends."""
+    table = [[2 * INSIDE] * N_STATES for _ in range(3)]
+    table[LINE] = [2 * LABELS] + [2 * LABELS + 1] * (N_STATES - 1)
+    table[MARK] = [2 * LABELS + 1] * 2 + [2 * q for q in range(2, N_STATES)]
+    table[PLAIN] = [2 * INSIDE] * 2 + [2 * q for q in range(2, N_STATES)]
+    for sign, (opens, closes) in _SIGN.items():
+        for introduced in (False, True):
+            for closed_later in (False, True):
+                for ended in (False, True):
+                    for after in (GOES_ON, NEW_WORD, OTHER):
+                        row = list(table[PLAIN])
+                        if opens >= 0 and closed_later:
+                            row[LABELS] = row[INSIDE] = 2 * (2 + 2 * opens + introduced)
+                        if closes >= 0:
+                            for was_introduced in (0, 1):
+                                cut = ended and closes not in TITLES and after != GOES_ON and (was_introduced or after == NEW_WORD)
+                                row[2 + 2 * closes + was_introduced] = 2 * LABELS + 1 if cut else 2 * INSIDE
+                        _SYMBOLS[sign, introduced, closed_later, ended, after] = len(table)
+                        table.append(row)
+    return table
+
+
+#: What follows a closing sign.
+GOES_ON, NEW_WORD, OTHER = 0, 1, 2
+_TABLE = _compile()
+
+
+def _is_end(s: str, a: int, b: int) -> bool:
+    """The point ``s[a:b]`` ends a sentence, by the windows around it."""
+    nxt = s[b] if b < len(s) else " "
+    if nxt.isalnum() and not _CJK_RE.match(nxt):
+        return False
+    j, least = a, max(0, a - WINDOW)
+    while j > least and (s[j - 1].isalpha() or s[j - 1] == ".") and not _CJK_RE.match(s[j - 1]):
+        j -= 1
+    word = s[j:a]
+    if not word.isascii():
+        word = word.translate(_LOOKALIKE)
+    if word and (j == 0 or s[j - 1] not in "'’"):
+        if word in _INNER_SET:
+            return False
+        if word in _CLOSING_SET or ("." in word and all(len(x) == 1 for x in word.split("."))):
+            return bool(_STARTS_NEW.match(s, b, b + WINDOW))
+        if len(word) == 1 and _GOES_ON.match(s, b, b + WINDOW):
+            return False
+        return not (len(word) == 1 and word.isupper() and nxt.isspace() and _INITIAL_NEXT.match(s, b, b + WINDOW) and not _ANSWER_BEFORE.search(s, max(0, j - 12), j))
+    return not (not word and nxt.isspace() and _ORDINAL.search(s, max(0, a - 10), a))
+
+
+class Ahead:
+    """What the automaton from the right holds at a place: a ``$`` follows on the line, and the kinds of
+    quotations that are closed on it (bits); and, from the left, whether a ``$`` is open."""
+
+    __slots__ = ("dollar", "kinds", "inside")
+
+    def __init__(self, dollar: bool = False, kinds: int = 0, inside: bool = False) -> None:
+        self.dollar, self.kinds, self.inside = dollar, kinds, inside
+
+
+def _is_sign(s: str, a: int) -> bool:
+    """A quotation sign and no apostrophe."""
+    if s[a] == "’":
+        return not (0 < a and s[a - 1].isalpha() and a + 1 < len(s) and s[a + 1].isalpha())
+    return not (s[a] == "‘" and 0 < a and s[a - 1].isalpha() and not _CJK_RE.match(s[a - 1]))
+
+
+def _past_formula(s: str, a: int, hi: int, ahead: Ahead) -> int | None:
+    """The end of the formula that is open at ``a``, ``hi`` if it goes on there, or None if it is none."""
+    line = s.find("\n", a, hi)
+    end = s.find("$", a, line if line >= 0 else hi)
+    if end >= 0:
+        return end + 1
+    return hi if line < 0 and ahead.dollar else None
+
+
+def symbols(s: str, lo: int, hi: int, ahead: Ahead) -> list[tuple[int, int, int]]:
+    """The symbols that begin in ``s[lo:hi]``: (symbol, place, place of the cut it may make).
+
+    ``ahead`` tells what holds at ``hi`` (and ``inside`` what holds at ``lo``).
+    """
+    raw: list[list] = []
+    skip = lo
+    if ahead.inside:
+        skip = _past_formula(s, lo, hi, ahead) or lo
+    n = len(s)
     for m in _SCAN.finditer(s, lo, hi):
         a = m.start()
         if a < skip:
@@ -103,83 +208,58 @@ def _events(s: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
             b = m.end()
             if b - a > 1:
                 skip = b
-                if b < len(s) and s[b] in MARKS:  # "...?"
-                    b = _RUN.match(s, b).end()
-                    out.append((1, a, b))
-                    skip = b
+                if b < n and s[b] in MARKS:  # "...?"
+                    skip = b = _RUN.match(s, b).end()
+                    raw.append([MARK, a, b])
                 continue
-            nxt = s[b] if b < len(s) else " "
-            if nxt.isalnum() and not _CJK_RE.match(nxt):
+            if not _is_end(s, a, b):
                 continue
-            j = a
-            while j > 0 and (s[j - 1].isalpha() or s[j - 1] == ".") and not _CJK_RE.match(s[j - 1]):
-                j -= 1
-            word = s[j:a]
-            if not word.isascii():
-                word = word.translate(_LOOKALIKE)
-            if word and (j == 0 or s[j - 1] not in "'’"):
-                if word in _INNER_SET:
-                    continue
-                if word in _CLOSING_SET or ("." in word and all(len(x) == 1 for x in word.split("."))):
-                    if not _STARTS_NEW.match(s, b):
-                        continue
-                elif len(word) == 1 and _GOES_ON.match(s, b):
-                    continue
-                elif len(word) == 1 and word.isupper() and nxt.isspace() and _INITIAL_NEXT.match(s, b) and not _ANSWER_BEFORE.search(s, max(0, j - 12), j):
-                    continue
-            elif not word and nxt.isspace() and _ORDINAL.search(s, max(0, a - 10), a):
-                continue
-            if nxt in MARKS:
+            if b < n and s[b] in MARKS:
                 b = _RUN.match(s, a).end()
-            out.append((1, a, b))
+            raw.append([MARK, a, b])
             skip = b
         elif c == "\n":
-            out.append((0, a, a + 1))
+            raw.append([LINE, a, a + 1])
         elif c == "$":
-            f = _FORMULA.match(s, a)
-            if f:
-                skip = f.end()
+            if a + 1 < n and s[a + 1] != "$":
+                skip = _past_formula(s, a + 1, hi, ahead) or a + 1
         elif c in _SIGN:
-            if c == "’" and 0 < a and s[a - 1].isalpha() and a + 1 < len(s) and s[a + 1].isalpha():
-                continue
-            if c == "‘" and 0 < a and s[a - 1].isalpha() and not _CJK_RE.match(s[a - 1]):
-                continue
-            out.append((2, a, a + 1))
+            if _is_sign(s, a):
+                raw.append([c, a, a + 1])
         else:
             b = _RUN.match(s, a).end()
-            out.append((1, a, b))
+            raw.append([MARK, a, b])
             skip = b
-    return out
-
-
-def _kinds(sign: str) -> tuple[int, int]:
-    o = next((k for k, q in enumerate(QUOTES) if q[0] == sign), -1)
-    c = next((k for k, q in enumerate(QUOTES) if q[1] == sign), -1)
-    return o, c
-
-
-_SIGN = {s: _kinds(s) for q in QUOTES for s in q}
-
-
-def _walk(s: str, events: list, state: int, lo: int) -> tuple[int, list[int], list[int], int, list[int]]:
-    """Exit state, cuts, pending cuts of the quotation open at entry and their fate
-    (0 not known yet, 1 dropped, 2 kept), pending cuts of the quotation open at exit."""
+    # from right to left: which quotations are closed before the line ends
+    kinds = ahead.kinds
+    for i in range(len(raw) - 1, -1, -1):
+        what, a, b = raw[i]
+        if what == LINE:
+            kinds = 0
+            continue
+        while b < n and s[b] in CLOSERS:
+            b += 1
+        raw[i][2] = b
+        if what != MARK:
+            opens, closes = _SIGN[what]
+            later = opens >= 0 and bool(kinds >> opens & 1)
+            ended = closes >= 0 and i > 0 and raw[i - 1][0] == MARK and not s[raw[i - 1][2] : a].strip()
+            after = OTHER
+            if ended:
+                after = GOES_ON if _GOES_ON.match(s, b, b + WINDOW) else NEW_WORD if _NEW_WORD.match(s, b, b + WINDOW) else OTHER
+            introduced = later and bool(_INTRODUCED.search(s, max(0, a - 4), a))
+            raw[i][0] = _SYMBOLS[what, introduced, later, ended, after]
+            if closes >= 0:
+                kinds |= 1 << closes
+    return raw
+
+
+def run(s: str, found: list, state: int, lo: int, hi: int) -> tuple[int, list[int]]:
+    """The transducer over the symbols of ``s[lo:hi]``: exit state and cuts."""
     cuts: list[int] = []
-    pending: list[int] = []
-    entry: list[int] = []
-    fate = 0 if state > INSIDE else 1
-    here, marked = lo, -1  # end of the last event; end of an end mark inside a quotation
-    n = len(s)
-
-    def settle(kept: bool) -> None:
-        nonlocal pending, fate, entry
-        if fate == 0:
-            entry, fate = pending, 2 if kept else 1
-        elif kept:
-            cuts.extend(pending)
-        pending = []
-
-    for kind, a, b in events:
+    here = lo
+    table = _TABLE
+    for symbol, a, b in found:
         if a < here:
             continue
         if state == LABELS:
@@ -187,62 +267,48 @@ def _walk(s: str, events: list, state: int, lo: int) -> tuple[int, list[int], li
                 here = m.end()
             if a < here:
                 continue
-            if s[here:a].strip() or kind != 0:
-                state = INSIDE
-        if kind == 0:
-            if state > INSIDE:
-                settle(True)
+            if symbol != LINE or s[here:a].strip():
                 state = INSIDE
-            if state == INSIDE:
-                cuts.append(b)
-                state = LABELS
-        elif kind == 1:
-            if state > INSIDE:
-                pending.append(b)
-                marked = b
-            else:
-                while b < n and s[b] in CLOSERS:
-                    b += 1
-                cuts.append(b)
-                state = LABELS
-        elif state > INSIDE:
-            k, introduced = divmod(state - 2, 2)
-            if s[a] == QUOTES[k][1]:
-                ended = marked >= 0 and not s[marked:a].strip()
-                settle(False)
-                state = INSIDE
-                while b < n and s[b] in CLOSERS:
-                    b += 1
-                if ended and k not in TITLES and not _GOES_ON.match(s, b) and (introduced or _NEW_WORD.match(s, b)):
-                    cuts.append(b)
-                    state = LABELS
-        elif (o := _SIGN[s[a]][0]) >= 0:
-            state = 2 + 2 * o + bool(_INTRODUCED.search(s, max(0, a - 4), a))
-            marked = -1
-        here = max(here, b)
-    return state, cuts, entry, fate, pending
-
-
-def _finish(s: str, cuts: list[int], base: int, at: list[int] | None) -> list[tuple[int, int]]:
-    out, start = [], 0
-    for cut in [*sorted(cuts), len(s)]:
+        step = table[symbol][state]
+        state = step >> 1
+        if step & 1:
+            cuts.append(b)
+            here = b
+        elif a >= here:
+            here = a + 1
+    if state == LABELS:  # what stands after the last symbol decides whether the labels were left
+        while m := _LABEL.match(s, here):
+            if m.end() > hi:
+                break
+            here = m.end()
+        if s[here:hi].strip():
+            state = INSIDE
+    return state, cuts
+
+
+def _pieces(s: str, cuts: list[int], lo: int, hi: int, at: list[int] | None) -> list[tuple[int, int] | None]:
+    """What is drawn between the cuts of ``s[lo:hi]``, in stored places (counted from ``at``, else from ``lo``)."""
+    out, start = [], lo
+    for cut in [*cuts, hi]:
         piece = s[start:cut]
         body = piece.strip()
         if body:
-            a = start + len(piece) - len(piece.lstrip())
+            a = start + len(piece) - len(piece.lstrip()) - lo
             b = a + len(body)
-            out.append((at[a] + base, at[b - 1] + 1 + base) if at else (a + base, b + base))
+            out.append((at[a], at[b - 1] + 1) if at else (a, b))
+        else:
+            out.append(None)
         start = cut
     return out
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
-    """Spans of the sentences of one text, walked at once."""
+    """Spans of the sentences of a text of one chunk."""
     if not text:
         return []
     s, at = _clean(text)
-    state, cuts, _, _, pending = _walk(s, _events(s, 0, len(s)), LABELS, 0)
-    return _finish(s, cuts + pending, 0, at)
+    n = len(s)
+    return [p for p in _pieces(s, run(s, symbols(s, 0, n, Ahead()), LABELS, 0, n)[1], 0, n, at) if p]
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start_at", T.IntegerType()), T.StructField("end_at", T.IntegerType())]))
@@ -267,91 +333,180 @@ def _spans_of_items(items: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), inner)
 
 
+# --- long texts -----------------------------------------------------------------------------------------
+
+_AHEAD = re.compile("[\n$" + "".join(sorted({c for _, c in QUOTES})) + "]")
+
+
+def _safe_end(s: str, at: int) -> int:
+    """The first place from ``at`` on between two letters or figures and in no label; the end if there is none."""
+    n = len(s)
+    while at < n:
+        if s[at - 1].isalnum() and s[at].isalnum() and not any((m := _LABEL.match(s, p)) and m.end() > at for p in range(max(0, at - 60), at)):
+            return at
+        at += 1
+    return n
+
+
 def split_chunks(text: str, chunk: int = CHUNK) -> list[dict]:
-    """Chunks of the cleaned text with their context; a run of blanks is never split from what precedes it."""
-    s, _ = _clean(text)
-    out, lo, n = [], 0, len(s)
-    while lo < n:
-        hi = min(n, lo + chunk)
-        if hi < n:
-            # between two letters, outside brackets and formulas, so that no event straddles the end
-            line = s.rfind("\n", lo, hi) + 1 or lo
-            for at in range(hi, max(lo + chunk // 2, hi - 256), -1):
-                if s[at - 1].isalpha() and s[at].isalpha() and s.count("$", line, at) % 2 == 0 and not _OPEN_BRACKET.search(s, max(lo, at - 48), at):
-                    hi = at
-                    break
-        left = max(0, lo - CONTEXT)
-        right = min(n, hi + CONTEXT)
-        out.append({"k": len(out), "lo": lo - left, "hi": hi - left, "base": left, "body": s[left:right]})
-        lo = hi
+    """Chunks of the cleaned text with their context, the stored places of their characters and what holds ahead of them."""
+    s, at = _clean(text)
+    n = len(s)
+    ends = [0]
+    while ends[-1] < n:
+        ends.append(_safe_end(s, ends[-1] + chunk))
+    # left to right: is a "$" open at each chunk's start; signs within formulas count for nothing
+    signs = [(m.start(), m[0]) for m in _AHEAD.finditer(s)]
+    last_on_line, dollar = {}, False
+    for i in range(len(signs) - 1, -1, -1):
+        if signs[i][1] == "\n":
+            dollar = False
+        elif signs[i][1] == "$":
+            last_on_line[i] = not dollar
+            dollar = True
+    inside, opened, kept = [], False, []
+    k = 0
+    for i, (place, c) in enumerate(signs):
+        while k < len(ends) - 1 and ends[k] <= place:
+            inside.append(opened)
+            k += 1
+        if c == "\n":
+            opened = False
+        elif c == "$":
+            if opened:
+                opened = False
+            elif place + 1 < n and s[place + 1] != "$" and not last_on_line[i]:
+                opened = True
+        kept.append(not opened or c == "$")
+    inside += [opened] * (len(ends) - 1 - len(inside))
+    # right to left: what follows each chunk on its last line
+    ahead: list[tuple[bool, int]] = []
+    dollar, kinds, i = False, 0, len(signs) - 1
+    for end in reversed(ends[1:]):
+        while i >= 0 and signs[i][0] >= end:
+            place, c = signs[i]
+            if c == "\n":
+                dollar, kinds = False, 0
+            elif c == "$":
+                dollar = True
+            elif kept[i] and _is_sign(s, place):
+                kinds |= 1 << _SIGN[c][1]
+            i -= 1
+        ahead.append((dollar, kinds))
+    ahead.reverse()
+    out = []
+    for k, (lo, hi) in enumerate(zip(ends, ends[1:])):
+        left, right = max(0, lo - CONTEXT), min(n, hi + CONTEXT)
+        out.append({"k": k, "lo": lo - left, "hi": hi - left, "body": s[left:right], "base": lo, "at": at[lo:hi] if at else None, "inside": inside[k], "dollar": ahead[k][0], "kinds": ahead[k][1]})
     return out
 
 
-_CHUNKS = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("base", T.IntegerType()), T.StructField("body", T.StringType())]))
-_CHUNKS_PA = pa.list_(pa.struct([("k", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("base", pa.int32()), ("body", pa.string())]))
+_CHUNK = {
+    "k": (T.IntegerType(), pa.int32()), "lo": (T.IntegerType(), pa.int32()), "hi": (T.IntegerType(), pa.int32()), "body": (T.StringType(), pa.string()), "base": (T.IntegerType(), pa.int32()),
+    "at": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "inside": (T.BooleanType(), pa.bool_()), "dollar": (T.BooleanType(), pa.bool_()), "kinds": (T.IntegerType(), pa.int32()),
+}
+_CHUNKS = T.ArrayType(T.StructType([T.StructField(k, v) for k, (v, _) in _CHUNK.items()]))
+_CHUNKS_PA = pa.list_(pa.struct([(k, v) for k, (_, v) in _CHUNK.items()]))
+
+
+def _symbols_of(c: dict) -> list:
+    return symbols(c["body"], c["lo"], c["hi"], Ahead(c["dollar"], c["kinds"], c["inside"]))
+
 
+def chunk_function(c: dict) -> tuple[list[int], list[int]]:
+    """A chunk as a state-transition function: exit state and number of cuts by entry state."""
+    found = _symbols_of(c)
+    to, n = [], []
+    for q in range(N_STATES):
+        state, cuts = run(c["body"], found, q, c["lo"], c["hi"])
+        to.append(state)
+        n.append(len(cuts))
+    return to, n
 
-def chunk_function(body: str, lo: int, hi: int, base: int) -> dict:
-    """A chunk as a state-transition function: for each entry state its exit state and outputs."""
-    events = _events(body, lo, hi)
-    res = [_walk(body, events, q, lo) for q in range(N_STATES)]
-    # what stands after the last event decides whether the labels were left
-    last = max([e[2] for e in events], default=lo)
-    while m := _LABEL.match(body, last, hi):
-        last = m.end()
-    tail = bool(body[min(last, hi) : hi].strip())
-    up = lambda xs: [x + base for x in xs]
-    return {
-        "to": [INSIDE if r[0] == LABELS and tail else r[0] for r in res],
-        "cuts": [up(r[1]) for r in res],
-        "entry": [up(r[2]) for r in res],
-        "fate": [r[3] for r in res],
-        "pending": [up(r[4]) for r in res],
-    }
+
+def compose(functions: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int]]:
+    """The composition of functions in order; associative."""
+    to, n = list(range(N_STATES)), [0] * N_STATES
+    for f, cuts in functions:
+        n = [x + cuts[q] for x, q in zip(n, to)]
+        to = [f[q] for q in to]
+    return to, n
+
+
+def chunk_pieces(c: dict, state: int, before: int) -> list[tuple[int, int, int]]:
+    """``(number of the sentence, start, end)`` of what a chunk holds of each sentence, entered in a state
+    after so many cuts."""
+    cuts = run(c["body"], _symbols_of(c), state, c["lo"], c["hi"])[1]
+    add = 0 if c["at"] else c["base"]
+    return [(before + i, p[0] + add, p[1] + add) for i, p in enumerate(_pieces(c["body"], cuts, c["lo"], c["hi"], c["at"])) if p]
 
 
 _INTS = T.ArrayType(T.IntegerType())
-_FUNCTION = T.StructType([T.StructField("to", _INTS), T.StructField("cuts", T.ArrayType(_INTS)), T.StructField("entry", T.ArrayType(_INTS)), T.StructField("fate", _INTS), T.StructField("pending", T.ArrayType(_INTS))])
-_FUNCTION_PA = pa.struct([("to", pa.list_(pa.int32())), ("cuts", pa.list_(pa.list_(pa.int32()))), ("entry", pa.list_(pa.list_(pa.int32()))), ("fate", pa.list_(pa.int32())), ("pending", pa.list_(pa.list_(pa.int32())))])
+_LONGS = T.ArrayType(T.LongType())
+_FUNCTION = T.StructType([T.StructField("to", _INTS), T.StructField("n", _LONGS)])
+_FUNCTION_PA = pa.struct([("to", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+_ENTRIES = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("q", T.IntegerType()), T.StructField("before", T.LongType())]))
+_ENTRIES_PA = pa.list_(pa.struct([("k", pa.int32()), ("q", pa.int32()), ("before", pa.int64())]))
+_PIECES = T.ArrayType(T.StructType([T.StructField("number", T.LongType()), T.StructField("start_at", T.IntegerType()), T.StructField("end_at", T.IntegerType())]))
+_PIECES_PA = pa.list_(pa.struct([("number", pa.int64()), ("start_at", pa.int32()), ("end_at", pa.int32())]))
 
 
-def _long_texts(texts: DataFrame, keys: list[str], chunk: int) -> DataFrame:
-    """Spans of texts longer than a chunk, by composed chunk functions."""
+@arrow_udf(_FUNCTION)
+def _function(chunks: pa.Array) -> pa.Array:
+    return pa.array([dict(zip(("to", "n"), chunk_function(c))) for c in chunks.to_pylist()], _FUNCTION_PA)
+
+
+@arrow_udf(_FUNCTION)
+def _composed(functions: pa.Array) -> pa.Array:
+    return pa.array([dict(zip(("to", "n"), compose([(f["to"], f["n"]) for f in fs]))) for fs in functions.to_pylist()], _FUNCTION_PA)
+
+
+@arrow_udf(_ENTRIES)
+def _entered(functions: pa.Array, states: pa.Array, before: pa.Array) -> pa.Array:
+    """The state in which each of some functions in order is entered, and the cuts before it."""
+    out = []
+    for fs, q, n in zip(functions.to_pylist(), states.to_pylist(), before.to_pylist()):
+        own = []
+        for f in fs:
+            own.append({"k": f["k"], "q": q, "before": n})
+            q, n = f["to"][q], n + f["n"][q]
+        out.append(own)
+    return pa.array(out, _ENTRIES_PA)
+
+
+@arrow_udf(_PIECES)
+def _pieces_of(chunks: pa.Array, states: pa.Array, before: pa.Array) -> pa.Array:
+    out = [chunk_pieces(*x) for x in zip(chunks.to_pylist(), states.to_pylist(), before.to_pylist())]
+    return pa.array([[dict(zip(("number", "start_at", "end_at"), p)) for p in x] for x in out], _PIECES_PA)
+
+
+def spread_chunks(texts: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """``keys, k, c``: the chunks of texts, spread so that one huge text occupies many tasks."""
 
     @arrow_udf(_CHUNKS)
     def chunks(col: pa.Array) -> pa.Array:
         return pa.array([split_chunks(t, chunk) for t in col.to_pylist()], _CHUNKS_PA)
 
-    @arrow_udf(_FUNCTION)
-    def function(body: pa.Array, lo: pa.Array, hi: pa.Array, base: pa.Array) -> pa.Array:
-        return pa.array([chunk_function(*x) for x in zip(body.to_pylist(), lo.to_pylist(), hi.to_pylist(), base.to_pylist())], _FUNCTION_PA)
-
-    @arrow_udf(_SPANS)
-    def finish(text: pa.Array, cuts: pa.Array) -> pa.Array:
-        out = []
-        for t, c in zip(text.to_pylist(), cuts.to_pylist()):
-            s, at = _clean(t)
-            out.append([{"start_at": a, "end_at": b} for a, b in _finish(s, c or [], 0, at)])
-        return pa.array(out, _SPANS_PA)
-
-    # a chunk is small and independent: spread them, so that one huge text occupies many tasks
-    parts = texts.select(*keys, F.explode(chunks("text")).alias("c")).select(*keys, "c.*").repartition(*keys, "k")
-    parts = parts.select(*keys, "k", function("body", "lo", "hi", "base").alias("f"))
-    scan = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", F.col("f.to").alias("to")))).alias("fs"))
-    # prefix scan: the state in which each chunk is entered
-    entries = F.aggregate("fs", F.array(F.lit(LABELS)), lambda acc, x: F.concat(acc, F.array(F.get(x["to"], F.element_at(acc, -1)))))
-    entered = scan.select(*keys, F.posexplode(entries).alias("k", "q"))
-    w = Window.partitionBy(*keys).orderBy("k").rowsBetween(1, Window.unboundedFollowing)
-    f = parts.join(entered, [*keys, "k"]).select(*keys, "k", *[F.get(F.col(f"f.{x}"), F.col("q")).alias(x) for x in ("cuts", "entry", "fate", "pending")])
-    # what is pending at a chunk's end holds unless the next chunk that knows says it was closed
-    f = f.withColumn("later", F.coalesce(F.first(F.when(F.col("fate") > 0, F.col("fate")), ignorenulls=True).over(w), F.lit(2)))
-    none = F.array().cast("array<int>")
-    kept = F.concat("cuts", F.when(F.col("fate") == 2, F.col("entry")).otherwise(none), F.when(F.col("later") == 2, F.col("pending")).otherwise(none))
-    cuts = f.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list(kept))).alias("cuts"))
-    return texts.join(cuts, keys).select(*keys, F.explode(finish("text", "cuts")).alias("s")).select(*keys, "s.*")
-
-
-def sentences(questions: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    # a number of partitions is given, for chunks are few bytes but much work and would be put together again
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select(*keys, F.explode(chunks("text")).alias("c")).select(*keys, F.col("c.k").alias("k"), "c").repartition(n, *keys, "k")
+
+
+def _long_texts(texts: DataFrame, keys: list[str], chunk: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Spans of texts longer than a chunk, by composed chunk functions."""
+    parts = spread_chunks(texts, keys, chunk)
+    up = parts.select(*keys, "k", _function("c").alias("f"))
+    # groups hold at most FAN_IN functions, of a few hundred bytes each
+    listed = F.sort_array(F.collect_list(F.struct("k", "f.to", "f.n"))).alias("fs")
+    blocks = up.groupBy(*keys, F.expr(f"k div {fan_in}").cast("int").alias("block")).agg(listed)
+    tops = blocks.select(*keys, F.col("block").alias("k"), _composed("fs").alias("f")).groupBy(*keys).agg(listed)
+    at_blocks = tops.select(*keys, F.explode(_entered("fs", F.lit(LABELS), F.lit(0).cast("long"))).alias("e")).select(*keys, F.col("e.k").alias("block"), F.col("e.q").alias("q"), F.col("e.before").alias("before"))
+    at_chunks = blocks.join(at_blocks, [*keys, "block"]).select(*keys, F.explode(_entered("fs", "q", "before")).alias("e")).select(*keys, "e.*")
+    pieces = parts.join(at_chunks, [*keys, "k"]).select(*keys, F.explode(_pieces_of("c", "q", "before")).alias("p")).select(*keys, "p.*")
+    return pieces.groupBy(*keys, "number").agg(F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at")).drop("number")
+
+
+def sentences(questions: DataFrame, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
     """``row_id, field, item, start_at, end_at`` for every sentence of the descriptions and solutions of questions."""
     q = F.col("query")
     none = F.array().cast("array<string>")
@@ -360,7 +515,7 @@ def sentences(questions: DataFrame, chunk: int = CHUNK) -> DataFrame:
     short = rows.select("row_id", F.transform("items", lambda t: F.when(F.length(t) <= chunk, t)).alias("items"))
     short = short.select("row_id", F.posexplode(_spans_of_items("items")).alias("n", "spans")).select("row_id", "n", F.explode("spans").alias("s")).select("row_id", "n", "s.*")
     long = rows.where(F.exists("items", lambda t: F.length(t) > chunk)).select("row_id", F.posexplode("items").alias("n", "text")).where(F.length("text") > chunk)
-    out = short.unionByName(_long_texts(long, ["row_id", "n"], chunk))
+    out = short.unionByName(_long_texts(long, ["row_id", "n"], chunk, fan_in))
     return out.select("row_id", F.when(F.col("n") == 0, "description").otherwise("solutions").alias("field"), (F.col("n") - F.when(F.col("n") == 0, 1).otherwise(1)).cast("int").alias("item"), "start_at", "end_at")
 
 

@@ -106,18 +106,14 @@ def test_sentences(text, want):
 
 def _composed(text, chunk):
     parts = sentences.split_chunks(text, chunk)
-    fs = [sentences.chunk_function(p["body"], p["lo"], p["hi"], p["base"]) for p in parts]
-    state, states = sentences.LABELS, []
-    for f in fs:
-        states.append(state)
-        state = f["to"][state]
-    cuts = []
-    for i, (f, q) in enumerate(zip(fs, states)):
-        cuts += f["cuts"][q] + (f["entry"][q] if f["fate"][q] == 2 else [])
-        later = next((g["fate"][p] for g, p in list(zip(fs, states))[i + 1 :] if g["fate"][p]), 2)
-        cuts += f["pending"][q] if later == 2 else []
-    s, at = sentences._clean(text)
-    return sentences._finish(s, cuts, 0, at)
+    state, before, torn = sentences.LABELS, 0, {}
+    for p in parts:
+        to, n = sentences.chunk_function(p)
+        for number, a, b in sentences.chunk_pieces(p, state, before):
+            x, y = torn.get(number, (a, b))
+            torn[number] = (min(a, x), max(b, y))
+        before, state = before + n[state], to[state]
+    return sorted(torn.values())
 
 
 def test_composed_chunks_equal_one_walk(spark):
