@@ -97,7 +97,7 @@ def category(a: list[str], b: list[str]) -> str:
 
 
 def _near(x: str, y: str) -> bool:
-    from lexassay.functions.responses import common_subsequence
+    from lexassay.functions.replies import common_subsequence
 
     return 2 * common_subsequence(x, y) >= 0.65 * (len(x) + len(y))
 

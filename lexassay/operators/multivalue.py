@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexassay.functions.responses import asks_language, bare, fold, is_copy, is_nothing, is_refusal, language, listed
+from lexassay.functions.replies import asks_language, bare, declines, fold, is_nothing, language, listed, repeats
 from lexassay.functions.text import plain_view
 
 _QUOTED = re.compile(r"(?<![^\s,、;|/#:()\d.①-⑳])(?:\"[^\"\n]*\"|“[^”\n]*”|'[^'\n]*'|‘[^’\n]*’|「[^」\n]*」|『[^』\n]*』)(?=\s*(?:[,、;|/#\t\n(①-⑳\d]|\Z|[\"“'‘「]))")
@@ -204,13 +204,13 @@ def is_one_value(text: str, prompt: str | None) -> bool:
     """As a whole nothing, a refusal, a copy of the prompt or in another language than the prompt."""
     items = listed(text)
     whole = "\n".join(items) if items is not None else text
-    if is_nothing(whole) or is_refusal(whole):
+    if is_nothing(whole) or declines(whole):
         return True
     if items is not None and all(is_nothing(x) for x in items):
         return True
     if prompt:
         f, p = fold(whole), fold(prompt)
-        if len(f) >= 8 and len(f) >= 0.4 * len(p) and is_copy(bare(f), bare(p)):
+        if repeats(bare(f), bare(p)):
             return True
         lang = language(f)
         if lang and (own := language(p)) and own != lang and not asks_language(p):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from lexassay.functions.responses import common_subsequence
+from lexassay.functions.replies import common_subsequence
 
 
 def _common_substring(a: str, b: str) -> int:

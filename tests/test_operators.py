@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexassay.functions import latex, responses
+from lexassay.functions import latex, replies
 from lexassay.functions.dims import pinyin_syllables
 from lexassay.operators import cleaning, corpus, dictionary, edits, multivalue, nested, records, reports, rules, scorers, similarity, tokenizing
 
@@ -67,24 +67,6 @@ def test_answer_values_leaves_refusals_whole(spark):
     assert multivalue.answer_values(q.limit(0)).count() == 0
 
 
-def test_defects():
-    d = responses.defect
-    prompt = "【题1-2】在岚坞村东部，弹簧先削弱滑块，改造后又影响新建的光电管。小球的结论是否成立？"
-    assert d(prompt, None, True) == "empty"
-    assert d(prompt, ["", None], True) == "empty"
-    assert d(prompt, ["（略）"], True) == "empty"
-    assert d(prompt, ["……"], False) == "empty"
-    assert d(prompt, ["很抱歉，该内容超出服务范围，恕不作答。"], True) == "refusal"
-    assert d(prompt, ["Sorry, I cannot answer this question as it is outside my scope."], True) == "refusal"
-    assert d(prompt, [prompt], True) == "copy"
-    assert d(prompt, ["The old ferry was lost near the bridge and nobody followed it."], True) == "language"
-    assert d(prompt, ["由木板的变化率略有下降可以推"], True) == "truncated"
-    assert d(prompt, ["由木板的变化率略有下降可以推断，钢丝会影响弹簧。故选：D"], True) is None
-    assert d(prompt, ["B"], False) is None
-    assert d(None, ["B"], False) is None
-    assert d("Translate the sentences above into Chinese. The old ferry was lost near the bridge.", ["渡船在桥边丢失了，没有人跟着它走过去。"], True) is None
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
 def test_common_subsequence(a, b):
@@ -92,7 +74,7 @@ def test_common_subsequence(a, b):
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-    assert responses.common_subsequence(a, b) == t[-1][-1]
+    assert replies.common_subsequence(a, b) == t[-1][-1]
 
 
 @settings(max_examples=200, deadline=None)
