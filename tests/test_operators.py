@@ -137,7 +137,7 @@ def test_child_rows_link_to_parents(spark):
     log = spark.createDataFrame(CALLS, "log_id long, payload string")
     calls = nested.parsed_calls(log)
     schema = nested.merged_schema(calls, ["query", "report"])
-    assert schema["query.answers"] == {"array", "string"}
+    assert schema["query", ".answers"] == {"array", "string"}
     nodes = nested.explode_levels(calls, "log_id", ["query", "report"], schema)
     stems = nested.level_table(nodes, "log_id", "query.stems[]", ["stem"])
     options = nested.level_table(nodes, "log_id", "query.stems[].options.*", [])
@@ -145,6 +145,26 @@ def test_child_rows_link_to_parents(spark):
     assert sorted(map(tuple, joined)) == [("A", "x", "s0"), ("B", "y", "s0")]
 
 
+def test_any_key_keeps_its_values_and_child_rows(spark):
+    payload = '{"a-b": [{"x.y": 1, "z": {"it\'s": "deep", "q\\"\'": 2}}], "a.b": "v", "a[0]": [["w", null]], "": [3], "*": [4], "[]": [5]}'
+    df = spark.createDataFrame([(1, payload), (2, None), (3, "[]"), (4, '{"a.b": [1]}')], "id long, t string").select("id", F.try_parse_json("t").alias("v"))
+    schema = nested.merged_schema(df, ["v"])
+    nodes = nested.explode_levels(df, "id", ["v"], schema).collect()
+    got = {(r["node"], r["parent"], r["value"]): r["fields"] for r in nodes}
+    assert got["1||", None, None]['v["a.b"]'] == "v"
+    assert got['1|v["a-b"][]|0', "1||", None] == {'["x.y"]': "1", 'z["it\'s"]': "deep", 'z["q\\"\'"]': "2"}
+    assert ('1|v["a[0]"][][]|0.0', '1|v["a[0]"][]|0', "w") in got and ('1|v["a[0]"][][]|0.1', '1|v["a[0]"][]|0', None) in got
+    assert {('1|v[""][]|0', "1||", "3"), ('1|v["*"][]|0', "1||", "4"), ('1|v["[]"][]|0', "1||", "5"), ('4|v["a.b"][]|0', "4||", "1")} <= set(got)
+    # every parent below the record is a node
+    assert {r["parent"] for r in nodes if r["level"] and not r["parent"].endswith("||")} <= {r["node"] for r in nodes}
+    assert len({r["node"] for r in nodes}) == len(nodes)
+
+
+def test_answers_nested_deeper_are_kept(spark):
+    log = spark.createDataFrame([(1, '{"query": {"answers": [["a", ["b", "c"]], "d"]}}')], "log_id long, payload string")
+    assert sorted(map(tuple, nested.call_entities(log).collect())) == [(1, "answer", 0, "0", "a"), (1, "answer", 0, "1.0", "b"), (1, "answer", 0, "1.1", "c"), (1, "answer", 1, "0", "d")]
+
+
 def _plain_brackets(text, a, b):
     lefts, bad = [], []
     for i, c in enumerate(text):
