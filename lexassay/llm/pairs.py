@@ -19,6 +19,8 @@ language; null responses are ``empty``; repeated rows are judged alike; whole te
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,38 +45,61 @@ _CJK = "㐀-鿿豈-\ufaff぀-ヿ\U00020000-\U0003ffff"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
 
 
-def _covered(toks: list[str], shared: set[tuple], k: int) -> list[str]:
+class Prompt:
+    """A folded prompt with its tokens, shingles and language, computed when needed and once for all its responses."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    @cached_property
+    def tokens(self) -> list[str]:
+        return _TOKEN.findall(self.text.lower())
+
+    @cached_property
+    def shingles(self) -> set[tuple]:
+        return set(_shingles(self.tokens))
+
+    @cached_property
+    def language(self) -> str | None:
+        return language(self.text)
+
+
+def _shingles(toks: list[str]) -> Iterable[tuple]:
+    return zip(*[toks[i:] for i in range(SHINGLE)]) if len(toks) >= SHINGLE else [tuple(toks)]
+
+
+def _covered(toks: list[str], shared: set[tuple]) -> list[str]:
     """The tokens that stand in one of some shingles."""
     out, upto = [], 0
-    for i in range(len(toks) - k + 1):
-        if tuple(toks[i : i + k]) in shared:
-            out += toks[max(i, upto) : i + k]
-            upto = i + k
+    for i, shingle in enumerate(_shingles(toks)):
+        if shingle in shared:
+            out += toks[max(i, upto) : i + SHINGLE]
+            upto = i + SHINGLE
     return out
 
 
-def is_copy(response: str, prompt: str) -> bool:
-    """The response repeats the prompt, or most of it, and adds no answer."""
-    if sum(map(str.isalnum, response)) < SHORTEST:
+def is_copy(response: str, prompt: Prompt) -> bool:
+    """The folded response repeats the prompt, or most of it, and adds no answer."""
+    least = min(ALL_TOKENS[1], IN_SHINGLES[1])
+    if len(response) < SHORTEST or len(response) < least * len(prompt.tokens):
         return False
-    a, b = _TOKEN.findall(response.lower()), _TOKEN.findall(prompt.lower())
-    if not a or not b or len(a) < min(ALL_TOKENS[1], IN_SHINGLES[1]) * len(b):
+    a, b = _TOKEN.findall(response.lower()), prompt.tokens
+    if not a or not b or len(a) < least * len(b) or sum(map(len, a)) < SHORTEST:
         return False
-    k = min(SHINGLE, len(a), len(b))
-    own, other = ({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (a, b))
-    shared = own & other
-    if len(shared) < CONTAINED * len(own):
+    own = list(_shingles(a))
+    if sum(map(prompt.shingles.__contains__, own)) < CONTAINED * len(own):
         return False
+    shared = prompt.shingles.intersection(own)
     if not any(
         common >= of_response * len(a) and common >= of_prompt * len(b)
         for common, (of_response, of_prompt) in (
             (common_subsequence(a, b), ALL_TOKENS),
-            (common_subsequence(_covered(a, shared, k), _covered(b, shared, k)), IN_SHINGLES),
+            (common_subsequence(_covered(a, shared), _covered(b, shared)), IN_SHINGLES),
         )
     ):
         return False
     closing = _CLOSING.search(response.rstrip(" .。!\n")[-60:])
-    return not (closing and closing[0].strip() not in prompt)
+    return not (closing and closing[0].strip() not in prompt.text)
 
 
 # --- refusals -------------------------------------------------------------------------------------------
@@ -130,7 +155,17 @@ def _class_pattern(text: str) -> str:
 
 
 _CLASSES = {name: re.compile(_class_pattern(text), re.I) for name, text in WORDING.items()}
-_STARTS = re.compile("|".join(p.pattern for p in (_CLASSES[n] for n in ("sorry", "refusing", "declining", "no", "skipping", "referring"))), re.I)
+def _phrases(*names: str) -> tuple[str, ...]:
+    out = []
+    for part in "|".join(WORDING[n] for n in names).split("|"):
+        zh = [w for w in part.split() if not w.isascii()]
+        en = " ".join(w for w in part.split() if w.isascii())
+        out += [*zh, *([en] if en else [])]
+    return tuple(out)
+
+
+#: A refusal holds a phrase of every group of one of these.
+_NEEDED = ((_phrases("sorry", "declining", "no", "skipping"),), (_phrases("refusing"), _phrases("answering")), (_phrases("referring"), _phrases("authority")))
 
 
 def aligned(clause: str, classes: tuple[str, ...], zh: int, other: int) -> float:
@@ -158,9 +193,9 @@ def part_of(clause: str) -> str | None:
 
 
 def is_refusal(text: str) -> bool:
-    """Most of the text aligns with the parts of a refusal, and it declines, or apologises with a reason."""
-    t = fold(text).replace("’", "'").lower()
-    if not _STARTS.search(t):
+    """Most of the folded text aligns with the parts of a refusal, and it declines, or apologises with a reason."""
+    t = text.replace("’", "'").lower()
+    if not any(all(any(w in t for w in group) for group in groups) for groups in _NEEDED):
         return False
     total = found = 0
     parts = set()
@@ -228,7 +263,7 @@ def _open_end(t: str) -> bool:
 # --- pairs ----------------------------------------------------------------------------------------------
 
 
-def defect(prompt: str | None, items: list[str | None] | None, prose: bool) -> str | None:
+def defect(prompt: Prompt | str | None, items: list[str | None] | None, prose: bool) -> str | None:
     """The one defect of a response, given as its items, or None.
 
     ``items`` None or without anything visible: ``empty``.  A null or empty prompt can neither be
@@ -237,15 +272,16 @@ def defect(prompt: str | None, items: list[str | None] | None, prose: bool) -> s
     filled = [x for x in items or [] if not is_nothing(x)]
     if not filled:
         return "empty"
-    whole = "\n".join(filled)
-    if is_refusal(whole):
+    folded = fold("\n".join(filled))
+    if is_refusal(folded):
         return "refusal"
     if prompt:
-        folded_prompt, folded = fold(prompt), fold(whole)
-        if is_copy(folded, folded_prompt):
+        if isinstance(prompt, str):
+            prompt = Prompt(fold(prompt))
+        if is_copy(folded, prompt):
             return "copy"
         lang = language(folded)
-        if lang and (own := language(folded_prompt)) and own != lang and not asks_language(folded_prompt):
+        if lang and prompt.language and prompt.language != lang and not asks_language(prompt.text):
             return "language"
     if is_cut(filled[-1], prose):
         return "truncated"
@@ -256,7 +292,7 @@ def defect(prompt: str | None, items: list[str | None] | None, prose: bool) -> s
 def _defects(prompts: pa.Array, answers: pa.Array, solutions: pa.Array, kinds: pa.Array) -> pa.Array:
     out_a, out_s = [], []
     for prompt, answer, items, kind in zip(prompts.to_pylist(), answers.to_pylist(), solutions.to_pylist(), kinds.to_pylist()):
-        prompt = canonical(prompt)
+        prompt = Prompt(fold(canonical(prompt))) if prompt else None
         own = listed(answer)
         own = [canonical(x) for x in own] if own is not None else [canonical(answer)]
         out_a.append(defect(prompt, own, kind in SUBJECTIVE))

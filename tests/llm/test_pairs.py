@@ -57,7 +57,7 @@ def test_kinds(response, kind):
 def test_long_texts_are_compared_whole():
     words = [f"w{i}" for i in range(6_000)]
     whole, other = " ".join(words), " ".join(reversed(words))
-    assert pairs.is_copy(whole + " end", whole) and not pairs.is_copy(other, whole)
+    assert pairs.is_copy(whole + " end", pairs.Prompt(whole)) and not pairs.is_copy(other, pairs.Prompt(whole))
 
 
 def test_the_longest_common_subsequence_decides(spark, monkeypatch):
@@ -66,7 +66,7 @@ def test_the_longest_common_subsequence_decides(spark, monkeypatch):
     assert pairs.defect(PROMPT, [reuse], True) is None
     q = spark.read.parquet(f"{SMALL}/questions.parquet")
     rows = q.select(F.col("query.description").alias("d"), F.col("query.solutions").alias("s")).where("d is not null and s is not null").collect()
-    judge = lambda: [pairs.is_copy("\n".join(x or "" for x in r["s"]), r["d"]) for r in rows]
+    judge = lambda: [pairs.is_copy("\n".join(x or "" for x in r["s"]), pairs.Prompt(r["d"])) for r in rows]
     before = judge()
     monkeypatch.setattr(pairs, "common_subsequence", lambda a, b: len(a) + len(b))
     assert judge() != before
