@@ -26,6 +26,7 @@ Null gives null; an empty text stays empty; texts of any length are processed wh
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from functools import lru_cache
@@ -38,12 +39,17 @@ from pyspark.sql.functions import arrow_udf
 
 from lexassay.functions.lineage import cut_lineage
 
-# Letters drawn like a Latin letter, by script (public Unicode confusables data).
+# Letters drawn like a Latin letter, by script (public Unicode confusables data).  The dotless i,
+# drawn otherwise than the i, and letters that only some fonts draw alike stay as they are.
 LOOKALIKES = {
-    "Cyrillic": ("АВЕЅІЈКМНОРСТХаеѕіјорсухԛԝһԁ", "ABESIJKMHOPCTXaesijopcyxqwhd"),
+    "Cyrillic": ("АВЕЅІЈКМНОРСТХаеѕіјорсухԛԝһԁԌԚԜ", "ABESIJKMHOPCTXaesijopcyxqwhdGQW"),
     "Cyrillic, one sign": ("ӀҮ", "lY"),
-    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳϹͿ", "ABEZHIKMNOPTYXovcjCJ"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧορνϲϳϹͿ", "ABEZHIKMNOPTYXopvcjCJ"),
     "Armenian": ("Օօհոսց", "Oohnug"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZWVSLCPKB"),
+    "Coptic": ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Latin, coded twice": ("ɡ", "g"),
     "Signs": ("‐‑−˗∶∕⁄∼⋅∙‧", "----://~···"),
 }
 
@@ -71,7 +77,7 @@ def _fold_char(c: str) -> str:
     cat = unicodedata.category(c)
     if c in _FIXED:
         return _FIXED[c]
-    if (cat == "Cf" and not 0x600 <= ord(c) <= 0x605 and c not in "\u06dd\u070f\u08e2ᄋdᄌd") or c in INVISIBLE_EXTRA:
+    if (cat == "Cf" and not 0x600 <= ord(c) <= 0x605 and c not in "\u06dd\u070f\u08e2\U000110bd\U000110cd") or c in INVISIBLE_EXTRA:
         return ""
     if 0xFE00 <= ord(c) <= 0xFE0F or 0xE0000 <= ord(c) <= 0xE0FFF:
         return ""
@@ -181,46 +187,80 @@ def canonical_text(col: Column | str) -> Column:
     return F.coalesce(_changed(col), col)
 
 
-ITEM_SEPARATOR = "\x1e\n"
+_DRAWN = re.compile(r"\S")
+_DIGESTS = T.StructType([T.StructField("look", T.BinaryType()), T.StructField("code", T.BinaryType())])
 
 
-def _joined(items: Column) -> Column:
-    """An array of texts as one text with unambiguous item ends (null items count as empty)."""
-    safe = F.transform(items, lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("\x1e"), F.lit("")))
-    return F.when(items.isNotNull() & (F.size(items) > 0), F.array_join(safe, ITEM_SEPARATOR))
+def _digest(items: list[str]) -> bytes:
+    """Digest of a list of texts: their number and each with its length, so that item ends count."""
+    h = hashlib.sha256(len(items).to_bytes(8, "big"))
+    for t in items:
+        raw = t.encode("utf-8", "surrogatepass")
+        h.update(len(raw).to_bytes(8, "big"))
+        h.update(raw)
+    return h.digest()[:16]
 
 
-def same_looking_pairs(texts: DataFrame) -> DataFrame:
+@arrow_udf(_DIGESTS)
+def _looks(columns: pa.Array) -> pa.Array:
+    looks, codes = [], []
+    for items in columns.to_pylist():
+        raw = [x or "" for x in items or []]
+        forms = [canonical(x) for x in raw]
+        drawn = any(map(_DRAWN.search, forms))
+        looks.append(_digest(forms) if drawn else None)
+        codes.append(_digest(raw) if drawn else None)
+    return pa.StructArray.from_arrays([pa.array(looks, pa.binary()), pa.array(codes, pa.binary())], ["look", "code"])
+
+
+#: Rows of one spelling that are paired in one block.
+BLOCK = 2048
+
+
+def same_looking_pairs(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of rows whose texts are drawn the same but coded differently.
 
-    ``texts`` has ``row_id, field, scope, text``: texts are compared within equal ``(field, scope)``.
+    ``texts`` has ``row_id, field, scope, items``: lists of texts are compared item by item within equal
+    ``(field, scope)``; each item is normalised by itself, so lists of different length never meet.
     Only digests are shuffled.  Classes with one spelling are dropped; of the others the *spellings* are
     paired, each once whatever its copies, and only then do the rows of two differing spellings meet: equal
-    copies are never compared, and no more rows are made than the result holds.
+    copies are never compared, and no more rows are made than the result holds.  The rows of a spelling with
+    many copies are split into blocks of about ``block``, and every pair of blocks is a key of its own.
     Null texts and texts that show nothing give no pair; equal rows given twice count once.
     """
-    form = texts.withColumn("_c", canonical_text("text")).where(F.col("_c").isNotNull() & F.col("_c").rlike("[^\\s\x1e]"))
-    digest = lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 32))
-    keyed = form.select("row_id", "field", digest(F.concat_ws("\x00", F.col("field"), F.coalesce(F.col("scope").cast("string"), F.lit("")), F.col("_c"))).alias("look"), digest(F.col("text")).alias("code"))
+    form = texts.select("row_id", "field", "scope", _looks("items").alias("d")).where("d.look is not null")
+    within = F.concat_ws("\x00", F.col("field"), F.coalesce(F.col("scope").cast("string"), F.lit("")), F.hex("d.look"))
+    keyed = form.select("row_id", "field", F.unhex(F.substring(F.sha2(within, 256), 1, 32)).alias("look"), F.col("d.code").alias("code"))
     # the texts are read and normalised once; what follows works on the digests, a hundredth of their size
     keyed = cut_lineage(keyed)
     mixed = keyed.groupBy("look").agg(F.min("code").alias("_x"), F.max("code").alias("_y")).where("_x <> _y").select("look")
     rows = cut_lineage(keyed.join(mixed, "look", "left_semi").distinct())  # what is left is of the size of the result
-    spellings = rows.select("look", "field", "code").distinct()
+    spellings = rows.groupBy("look", "field", "code").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     a, b = spellings.alias("a"), spellings.alias("b")
-    differing = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.code") < F.col("b.code"))).select(F.col("a.look").alias("look"), F.col("a.field").alias("field"), F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b"))
-    left = rows.select("look", F.col("code").alias("code_a"), F.col("row_id").alias("_a"))
-    right = rows.select("look", F.col("code").alias("code_b"), F.col("row_id").alias("_b"))
-    j = differing.join(left, ["look", "code_a"]).join(right, ["look", "code_b"]).where("_a <> _b")
+    differing = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.code") < F.col("b.code")))
+    differing = differing.select(F.col("a.look").alias("look"), F.col("a.field").alias("field"), F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b"), F.explode(F.sequence(F.lit(0), F.col("a.blocks") - 1)).alias("block_a"), F.col("b.blocks").alias("_b"))
+    differing = differing.select("look", "field", "code_a", "code_b", "block_a", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("block_b"))
+    # a spelling of one block needs no count: only the others are looked up
+    many = spellings.where("blocks > 1").select("look", "code", "blocks")
+    placed = rows.join(many, ["look", "code"], "left").select("look", "code", "row_id", F.pmod(F.xxhash64("row_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    left = placed.select("look", F.col("code").alias("code_a"), F.col("block").alias("block_a"), F.col("row_id").alias("_a"))
+    right = placed.select("look", F.col("code").alias("code_b"), F.col("block").alias("block_b"), F.col("row_id").alias("_b"))
+    j = differing.join(left, ["look", "code_a", "block_a"]).join(right, ["look", "code_b", "block_b"]).where("_a <> _b")
     return j.select(F.least("_a", "_b").alias("row_a"), F.greatest("_a", "_b").alias("row_b"), "field")
 
 
+def changed_forms(texts: DataFrame) -> DataFrame:
+    """``row_id, field, item, form``: the canonical form of every text that is not in it already."""
+    items = texts.select("row_id", "field", F.posexplode("items").alias("item", "text")).where(F.col("text").isNotNull())
+    return items.select("row_id", "field", "item", _changed(F.col("text")).alias("form")).where(F.col("form").isNotNull())
+
+
 def question_texts(questions: DataFrame) -> DataFrame:
     """The three text fields of questions in long form, as compared by ``p1_found``."""
     q = F.col("query")
     parts = [
-        F.struct(F.lit("description").alias("field"), F.lit(None).cast("double").alias("scope"), q["description"].alias("text")),
-        F.struct(F.lit("answers").alias("field"), q["_id"].cast("double").alias("scope"), F.when(q["_id"].isNotNull(), q["answers"]).alias("text")),
-        F.struct(F.lit("solutions").alias("field"), F.lit(None).cast("double").alias("scope"), _joined(q["solutions"]).alias("text")),
+        F.struct(F.lit("description").alias("field"), F.lit(None).cast("double").alias("scope"), F.when(q["description"].isNotNull(), F.array(q["description"])).alias("items")),
+        F.struct(F.lit("answers").alias("field"), q["_id"].cast("double").alias("scope"), F.when(q["_id"].isNotNull() & q["answers"].isNotNull(), F.array(q["answers"])).alias("items")),
+        F.struct(F.lit("solutions").alias("field"), F.lit(None).cast("double").alias("scope"), q["solutions"].alias("items")),
     ]
-    return questions.select("row_id", F.explode(F.array(*parts)).alias("t")).select("row_id", "t.*").where(F.col("text").isNotNull())
+    return questions.select("row_id", F.explode(F.array(*parts)).alias("t")).select("row_id", "t.*").where(F.size("items") > 0)

@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.same_looking_pairs(canonical.question_texts(table(spark, folder, "questions")))
 
 
+def p1_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.changed_forms(canonical.question_texts(table(spark, folder, "questions")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "questions"))
 
@@ -47,7 +51,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_forms": p1_forms, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -65,9 +65,10 @@ def test_same_looking_pairs_equal_brute_force(spark):
     want = set()
     by = {}
     for r in texts:
-        c = C.canonical_reference(r["text"])
-        if any(not x.isspace() and x != "\x1e" for x in c):
-            by.setdefault((r["field"], r["scope"], c), set()).add((r["row_id"], r["text"]))
+        raw = tuple(x or "" for x in r["items"])
+        c = tuple(map(C.canonical_reference, raw))
+        if any(not x.isspace() for x in "".join(c)):
+            by.setdefault((r["field"], r["scope"], c), set()).add((r["row_id"], raw))
     for (f, _, _), g in by.items():
         want |= {(a, b, f) for a, x in g for b, y in g if a < b and x != y}
     got = C.same_looking_pairs(C.question_texts(q)).collect()
