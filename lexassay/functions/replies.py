@@ -70,7 +70,7 @@ def is_nothing(text: str | None) -> bool:
 
 _CLAUSE = re.compile(r"[,，。.;；!！?？\n]+")
 _SORRY = re.compile(r"抱歉|对不起|不好意思|遗憾|sorry|afraid|unfortunately|apolog|regret", re.I)
-_DECLINING = re.compile(r"恕不|恕我|恕难|(?:不便|不宜|不能|无法|没有办法|没办法|难以|拒绝|暂不|不予|不会|不再).{0,8}(?:答|提供|给出|处理|完成|帮助)|(?:cannot|can not|can't|unable|won't|not able).{0,40}?(?:answer|help|solve|provide|give)|beyond what (?:i|we)|rather not", re.I)
+_DECLINING = re.compile(r"恕不|恕我|恕难|(?:不便|不宜|不能|无法|没有办法|没办法|难以|拒绝|暂不|不予|不会|不再).{0,8}(?:答|提供|给出|处理|完成|帮助)|(?:cannot|can not|can't|unable|won't|not able).{0,40}?(?:answer|help|solve|provide|give)|beyond what (?:i|we)|rather not|(?:建议|请).{0,4}(?:咨询|请教|询问|联系)", re.I)
 
 
 def declines(text: str) -> bool:

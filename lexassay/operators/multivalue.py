@@ -6,7 +6,7 @@ they start above its highest one, so none can collide).  What remains is split a
 mixture; placeholders are restored by lookup; the values are exploded with their positions.
 
 Numbered values (``(1)A(2)B``) are split at their numbering, which must count 1, 2, 3, ....  Running prose
-is one value unless numbered.  A JSON list gives its items.  Row-wise, no shuffle.
+is one value unless numbered; it is told by ends of sentences and words of clauses, not by its length.  A JSON list gives its items.  Row-wise, no shuffle.
 
 Nulls and empty texts give no rows; so does a field with fewer than two values.  An empty place between
 two values keeps its position.  Fields of any length are split whole.
@@ -33,18 +33,22 @@ _FORMULA = re.compile(r"\$[^$\n]*\$")
 _DELIMITER = re.compile(r"\s*(?:##+|[;|\t\n\r]|[,、]|/)[^\S\t\n]*")
 _ATOM = re.compile(r"[A-HTa-htfΑ-ΩА-Яа-я√×✓✗]|[ABCDEF]{1,4}|true|false|yes|no|正确|错误|对|错|[-+]?\d[\d.%]*", re.I)
 _STYLES = (
-    re.compile(r"[(（]\s?(\d{1,2})\s?[)）]"),
-    re.compile(r"([①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳])"),
-    re.compile(r"(?:(?<=[\s;,、|/#。.!?])|(?<=\A))(\d{1,2})\s?[.、:)]\s?(?!\d{3})"),
-    re.compile(r"第(\d{1,2})[空题问小][空题]?[::]?"),
+    re.compile(r"[(（]\s?(\d{1,4})\s?[)）]"),
+    re.compile(r"([①-⑳㉑-㉟㊱-㊿])"),
+    re.compile(r"(?:(?<=[\s;,、|/#。.!?])|(?<=\A))(\d{1,4})\s?[.、:)]\s?(?!\d{3})"),
+    re.compile(r"第(\d{1,4})[空题问小][空题]?[::]?"),
 )
 _EDGE = re.compile(r"[\s;,、|/#]+\Z")
 _SENTENCE = re.compile(r"[。!?]|[.]\s+[A-Z]|[.]\Z")
+_SENTENCE_END = re.compile(r"[。!?.]\Z")
 _WORDS = re.compile(r"[A-Za-zÀ-ɏ]{2,}")
 _HAN_RUN = re.compile(r"[㐀-鿿]")
 _ENCLOSED = re.compile(r"\"(.*)\"|“(.*)”|'(.*)'|‘(.*)’|「(.*)」|『(.*)』", re.S)
-#: Longest value among values, in ideographs and in words.
-MOST_HAN, MOST_WORDS = 9, 5
+#: A phrase, as against a letter, figure or name: so many ideographs or words.  Only next to marks of a sentence
+#: does it make a text prose.
+PHRASE_HAN, PHRASE_WORDS = 6, 4
+_STRONG = re.compile(r"[;|\t\n#/]")
+_CLAUSE_WORD = re.compile(r"因为|所以|由于|如果|假设|因此|认为|可知|可得|推断|鉴于|根据|其中|发现|观察到|相比|而不是")
 
 
 def _trim(s: str, a: int, b: int) -> tuple[int, int]:
@@ -89,21 +93,31 @@ def _later(style: re.Pattern, s: str, at: int, n: int) -> bool:
 
 
 def _figure(x: str) -> int:
-    return int(x) if x.isdigit() and x.isascii() else ord(x) - 0x245F
+    """The number of a marker; circled figures stand in three blocks."""
+    if x.isdigit() and x.isascii():
+        return int(x)
+    return ord(x) - (0x245F if x <= "⑳" else 0x3251 - 21 if x <= "㉟" else 0x32B1 - 36)
 
 
 class _Placeholders:
-    """Indexed stand-ins for protected spans, from U+F0000 or above the highest such character of the text."""
+    """Indexed stand-ins for protected spans, from U+F0000 or above the highest such character of the text.
+
+    Equal spans share one; there are 131 068 for one field, and spans beyond that are split like other text.
+    """
 
     def __init__(self, text: str) -> None:
         self.base = max([0xF0000, *(ord(c) + 1 for c in text if "\U000f0000" <= c <= "\U0010fffd")])
         self.held: list[str] = []
+        self.index: dict[str, int] = {}
 
     def put(self, m: re.Match) -> str:
-        if self.base + len(self.held) > 0x10FFFD:
-            return m[0]
-        self.held.append(self.restore(m[0]))
-        return chr(self.base + len(self.held) - 1)
+        span = self.restore(m[0])
+        if span not in self.index:
+            if self.base + len(self.held) > 0x10FFFD:
+                return m[0]
+            self.index[span] = len(self.held)
+            self.held.append(span)
+        return chr(self.base + self.index[span])
 
     def restore(self, text: str) -> str:
         return "".join([self.held[ord(c) - self.base] if ord(c) >= self.base else c for c in text]) if self.held else text
@@ -138,14 +152,36 @@ def _delimited(s: str, groups: bool) -> list[tuple[int, int]]:
     return out
 
 
+def _is_phrase(piece: str) -> bool:
+    return len(_HAN_RUN.findall(piece)) >= PHRASE_HAN or len(_WORDS.findall(piece)) >= PHRASE_WORDS
+
+
 def _is_prose(s: str, spans: list[tuple[int, int]]) -> bool:
-    han = max([len(_HAN_RUN.findall(s[a:b])) for a, b in spans], default=0)
-    words = max([len(_WORDS.findall(s[a:b])) for a, b in spans], default=0)
-    if han > MOST_HAN or words > MOST_WORDS:
-        return True
-    if not _SENTENCE.search(s.rstrip(" \t\n\"”’」')")):
+    """The text between the delimiters is running prose, by its structure and not by its length.
+
+    Quoted pieces are values.  A phrase makes prose of a text that ends a sentence, at its end or inside a
+    piece, unless strong delimiters separate whole sentences.  Without any end of a sentence, pieces between
+    strong delimiters are values, and pieces between commas unless one is a clause.
+    """
+    pieces = [p for a, b in spans if (p := s[a:b].strip())]
+    if all(_ENCLOSED.fullmatch(p) and _SENTENCE.search(p) is None for p in pieces):
+        return False
+    strong = bool(_STRONG.search(s))
+    bare_pieces = [p.rstrip("\"”’」')") for p in pieces]
+    ended = [bool(_SENTENCE_END.search(p)) for p in bare_pieces]
+    inside = any(_SENTENCE.search(p[:-1]) and _is_phrase(p) for p in bare_pieces)
+    if strong and not inside and all(ended) and len(pieces) > 1:
+        return False
+    if inside or ended[-1]:
+        return any(map(_is_phrase, pieces))
+    if strong and not any(ended):
         return False
-    return han >= (9 if re.search(r"[;|\t\n#]", s) else 6) or words >= 4
+    return any(map(_is_clause, pieces))
+
+
+def _is_clause(piece: str) -> bool:
+    """Running words: function words of a language, or a word that opens a clause before a phrase."""
+    return language(piece, least_han=10**9) is not None or bool(_CLAUSE_WORD.search(piece)) and _is_phrase(piece)
 
 
 def split_values(text: str | None, expected: int = 0) -> list[tuple[int, str]]:

@@ -56,6 +56,31 @@ def test_prose_is_one_value():
     assert len(values('"We must go soon," said Ferrow, "we must replace it alone."')) == 1
 
 
+def test_values_of_any_length_are_split():
+    a, b = "the slow retreat of the northern glaciers since 1850", "the quick rise of the sea level in the last hundred years"
+    assert values(f'"{a}"; "{b}"') == [(1, a), (2, b)]
+    assert values(f"{a}; {b}") == [(1, a), (2, b)]
+    assert values(f"“{a}” “{b}”") == [(1, a), (2, b)]
+    zh = "北方大陆冰川在过去一百五十年里的缓慢后退", "沿海地区海平面在最近一百年里的快速上升"
+    assert values("；".join(zh)) == list(enumerate(zh, 1))
+    assert values("、".join(zh)) == list(enumerate(zh, 1))
+    assert len(values("Before noon, Lee counted the nine lamps; the engine stayed bright.")) == 1
+    assert values("The ferry sank.; The lamp was lost.") == [(1, "The ferry sank."), (2, "The lamp was lost.")]
+
+
+def test_numbering_of_any_length():
+    for mark in ("({})", "{}. ", "第{}空："):
+        text = " ".join(mark.format(i) + "A" for i in range(1, 301))
+        assert values(text) == [(i, "A") for i in range(1, 301)]
+    circled = [chr(c) for a, b in ((0x2460, 0x2474), (0x3251, 0x3260), (0x32B1, 0x32C0)) for c in range(a, b)]
+    assert values("".join(c + "B" for c in circled)) == [(i, "B") for i in range(1, 51)]
+
+
+def test_more_spans_than_placeholders():
+    n = 140_000
+    assert len(values(";".join(['"a,b"'] * n))) == n
+
+
 def test_long_fields_are_split_whole():
     assert len(values(";".join(["A"] * 20_000))) == 20_000
 
