@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from lexassay.sources.tables import table
 
 from . import canonical, leakage, mixture, pairs, sentences, truncation
 
+#: Ranks file of a public tokenizer on every node.
+TOKENIZER = os.environ.get("LEXASSAY_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,11 +39,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    return mixture.mixture(documents, mixture.plan(documents, table(spark, folder, "mix_targets")))
+    return mixture.mixture(documents, mixture.plan(documents, table(spark, folder, "mix_targets"), TOKENIZER))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.shares(spark, mixture.plan(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
+    return mixture.shares(spark, mixture.plan(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), TOKENIZER))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -216,18 +216,18 @@ def test_a_passage_of_one_item_in_many_documents_is_no_stock(spark):
 def test_mixture_reaches_its_shares(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "small").when(F.col("id") % 3 == 1, "big").otherwise(F.when(F.col("id") % 2 == 0, "big")).alias("source"), F.repeat(F.lit("word "), (F.col("id") % 40).cast("int")).alias("text"), F.lit(1).alias("copy"))
     targets = spark.createDataFrame([("small", 0.6, 3), ("big", 0.4, 1), ("absent", 0.0, 2)], "source string, target_share double, max_repeats int")
-    p = mixture.plan(docs, targets)
+    p = mixture.plan(docs, targets, queries.TOKENIZER)
     by = {w["source"]: w for w in p}
     assert abs(by["small"]["share"] - 0.6) < 0.01 and abs(by["big"]["share"] - 0.4) < 0.01
     m = mixture.mixture(docs, p)
-    n = {r["source"]: r for r in m.groupBy("source").agg(F.max("copy").alias("most"), F.count("*").alias("n"), F.sum(mixture.token_count(F.col("text"))).alias("tokens")).collect()}
+    n = {r["source"]: r for r in m.groupBy("source").agg(F.max("copy").alias("most"), F.count("*").alias("n"), F.sum(mixture.token_count(F.col("text"), queries.TOKENIZER)).alias("tokens")).collect()}
     for s in ("small", "big"):
         assert n[s]["most"] <= by[s]["max_repeats"]
         assert (n[s]["n"], n[s]["tokens"]) == (by[s]["documents_drawn"], by[s]["tokens_drawn"])
     assert m.groupBy("doc_id", "copy").count().where("count > 1").count() == 0
-    again = mixture.mixture(docs, mixture.plan(docs, targets))
+    again = mixture.mixture(docs, mixture.plan(docs, targets, queries.TOKENIZER))
     assert m.select("doc_id", "copy").collect() == again.select("doc_id", "copy").collect()
-    assert mixture.mixture(docs.limit(0), mixture.plan(docs.limit(0), targets)).count() == 0
+    assert mixture.mixture(docs.limit(0), mixture.plan(docs.limit(0), targets, queries.TOKENIZER)).count() == 0
 
 
 def test_poisson_inversion_has_the_right_mean():
