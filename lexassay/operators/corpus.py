@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from lexassay.functions.lineage import broadcast_if_small
+
 SPECIALS = ("<pad>", "</s>", "<unk>")
 
 
@@ -72,20 +74,42 @@ def with_previous(df: DataFrame, key: str, order: list[str], value: str, name: s
     return j.withColumn(name, F.when(k.eqNullSafe(F.col(key)), v)).drop("_p", "_k", "_v", "_first", "_last")
 
 
-def encoded(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """``key, ids``: tokens to vocabulary numbers, unknown ones to ``<unk>``, end of sentence appended."""
+#: Most frequent symbols that are looked up where the texts are; about 20 MB for a worker.
+LOOKED_UP = 200_000
+
+
+def encoded(docs: DataFrame, key: str, tokens: str, vocab: DataFrame, looked_up: int = LOOKED_UP) -> DataFrame:
+    """``key, ids``: the tokens of each text as vocabulary numbers, unknown ones ``<unk>``, end of sentence appended.
+
+    The ``looked_up`` most frequent symbols (a vocabulary is numbered by frequency) are broadcast and looked up
+    in Arrow batches: nothing is shuffled.  Only where the vocabulary is longer, the distinct rest of each text
+    is joined by symbol - rare ones by then, so that no key is hot - and comes back as one map a text.
+    """
     unk, eos = SPECIALS.index("<unk>"), SPECIALS.index("</s>")
-    v = vocab.select(F.col("symbol").alias("token"), "idx")
-    j = rows.join(v, "token", "left").select(key, "pos", F.coalesce("idx", F.lit(unk)).cast("long").alias("idx"))
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "idx"))), lambda s: s["idx"])
-    return j.groupBy(key).agg(F.concat(ids, F.array(F.lit(eos).cast("long"))).alias("ids"))
+    spark = docs.sparkSession
+    first = {r["symbol"]: r["idx"] for r in vocab.where(F.col("idx") < looked_up).select("symbol", "idx").collect()}
+    table = spark.sparkContext.broadcast(first)
+
+    @arrow_udf(T.ArrayType(T.LongType()))
+    def look_up(texts: pa.Array) -> pa.Array:
+        get = table.value.get
+        return pa.array([None if t is None else [get(x) for x in t] for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    close = lambda ids: F.concat(F.transform(ids, lambda x: F.coalesce(x, F.lit(unk).cast("long"))), F.array(F.lit(eos).cast("long")))
+    got = docs.select(key, F.col(tokens).alias("_t")).withColumn("_ids", look_up("_t"))
+    if vocab.where(F.col("idx") >= looked_up).limit(1).count() == 0:
+        return got.select(key, close(F.col("_ids")).alias("ids"))
+    left = F.array_distinct(F.filter(F.transform(F.arrays_zip("_t", "_ids"), lambda z: F.when(z["_ids"].isNull(), z["_t"])), lambda x: x.isNotNull()))
+    rest = got.select(key, F.explode(left).alias("symbol")).join(vocab.select("symbol", "idx"), "symbol").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("symbol", "idx"))).alias("_m"))
+    joined = got.join(rest, key, "left")
+    filled = F.transform(F.arrays_zip("_t", "_ids"), lambda z: F.coalesce(z["_ids"], F.try_element_at("_m", z["_t"])))
+    return joined.select(key, close(filled).alias("ids"))
 
 
-def ngram_counts(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """``key, gram, c``."""
-    toks = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("t"))
-    grams = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return toks.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
+def ngrams(tokens: Column, n: int) -> Column:
+    """The n-grams of a token array, in order."""
+    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def bleu(pairs: DataFrame, ref: Column, hyp: Column, n: int = 4) -> DataFrame:
@@ -117,21 +141,23 @@ def bleu(pairs: DataFrame, ref: Column, hyp: Column, n: int = 4) -> DataFrame:
     return s.withColumn("score", F.round(F.when(zero, 0.0).otherwise(100 * brevity * F.exp(logs / n)), 6))
 
 
-def chunks(tags: DataFrame, key: str) -> DataFrame:
-    """``key, kind, start_at, end_at``: runs of BIO tags (``key, pos, tag``), by gaps and islands."""
-    w = Window.partitionBy(key).orderBy("pos")
-    kind = F.when(F.col("tag") != "O", F.split("tag", "-")[1])
-    t = tags.withColumn("kind", kind).withColumn("_prev", F.lag("kind").over(w))
-    t = t.withColumn("_new", (F.col("tag").startswith("B-") | (F.col("kind").isNotNull() & ~F.col("kind").eqNullSafe(F.col("_prev")))).cast("int"))
-    t = t.withColumn("_run", F.sum("_new").over(w))
-    return t.where(F.col("kind").isNotNull()).groupBy(key, "_run", "kind").agg(F.min("pos").alias("start_at"), (F.max("pos") + 1).alias("end_at")).drop("_run")
+def chunks(tags: Column) -> Column:
+    """Runs of a BIO tag array as ``array<struct<kind, start_at, end_at>>``: a run starts at ``B-`` or a new kind."""
+    n = F.size(tags)
+    kind = lambda i: F.when(F.get(tags, i) != "O", F.get(F.split(F.get(tags, i), "-"), F.lit(1)))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    ends = F.concat(F.filter(places, lambda i: kind(i).isNull() | F.get(tags, i).startswith("B-") | ~kind(i).eqNullSafe(F.when(i > 0, kind(i - 1)))), F.array(n))
+    runs = F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda s, j: F.struct(kind(s).alias("kind"), s.alias("start_at"), F.get(ends, j + 1).alias("end_at")))
+    return F.when(tags.isNotNull(), F.filter(runs, lambda r: r["kind"].isNotNull()))
 
 
-def chunk_scores(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
-    """One row: correct, gold and predicted chunks with precision, recall and F1."""
-    cols = [key, "kind", "start_at", "end_at"]
-    both = gold.select(*cols, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(predicted.select(*cols, F.lit(0).alias("g"), F.lit(1).alias("p"))).groupBy(*cols).agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    s = both.agg(F.sum(F.col("g") * F.col("p")).alias("correct"), F.sum("g").alias("gold"), F.sum("p").alias("predicted"))
+def chunk_scores(gold: Column, predicted: Column, texts: DataFrame) -> DataFrame:
+    """One row: correct, gold and predicted chunks of tag arrays with precision, recall and F1.
+
+    A text's chunks are compared where they are; three numbers a partition are shuffled.
+    """
+    g, p = chunks(gold), chunks(predicted)
+    s = texts.select(F.size(F.array_intersect(g, p)).alias("c"), F.size(g).alias("g"), F.size(p).alias("p")).agg(*[F.sum(x).alias(y) for x, y in (("c", "correct"), ("g", "gold"), ("p", "predicted"))])
     p, r = F.col("correct") / F.nullif(F.col("predicted"), F.lit(0)), F.col("correct") / F.nullif(F.col("gold"), F.lit(0))
     p, r = F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0))
     return s.select("correct", "gold", "predicted", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
@@ -157,11 +183,11 @@ def dropped_words(rows: DataFrame, key: str, probability: float) -> DataFrame:
     return rows.where((F.col("pos") == 0) | (uniform(F.col(key), F.col("pos")) >= probability))
 
 
-def shuffled_words(rows: DataFrame, key: str, distance: int) -> DataFrame:
-    """Local shuffle: tokens sorted by place plus noise below ``distance``; the first stays first."""
-    noise = F.when(F.col("pos") == 0, F.lit(-1.0)).otherwise(F.col("pos") + distance * uniform(F.col(key), F.col("pos")))
-    w = Window.partitionBy(key).orderBy(noise, "pos")
-    return rows.select(key, (F.row_number().over(w) - 1).alias("new_pos"), "pos", "token")
+def shuffled_words(key: Column, tokens: Column, distance: int) -> Column:
+    """Local shuffle: ``array<struct<noise, pos, token>>`` of a token array, sorted by place plus noise below
+    ``distance``; the first stays first.  Row-wise."""
+    noisy = F.transform(tokens, lambda t, i: F.struct(F.when(i == 0, F.lit(-1.0)).otherwise(i + distance * uniform(key, i)).alias("noise"), i.alias("pos"), t.alias("token")))
+    return F.array_sort(noisy)
 
 
 def shards(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -197,18 +223,23 @@ def batches_by_size(df: DataFrame, key: str, size: str, max_tokens: int, max_row
     return parted.mapInPandas(pack, f"{key} long, size long, part int, batch long")
 
 
-def blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """Fixed blocks of a text's token stream with the source shifted right: ``key, block_no, tokens, sources``."""
-    w = Window.partitionBy(key).orderBy("pos")
-    r = rows.withColumn("src", F.coalesce(F.lag("token").over(w), F.lit("</s>"))).withColumn("block_no", F.floor(F.col("pos") / block).cast("long"))
-    pick = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda s: s[c])
-    return r.groupBy(key, "block_no").agg(F.array_join(pick("token"), " ").alias("tokens"), F.array_join(pick("src"), " ").alias("sources"))
+def blocks(tokens: Column, block: int) -> Column:
+    """Fixed blocks of a token array with the source shifted right: ``array<struct<block_no, tokens, sources>>``."""
+    shifted = F.concat(F.array(F.lit("</s>")), tokens)
+    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+    size = lambda s: F.least(F.lit(block), F.size(tokens) - s)
+    return F.transform(starts, lambda s, k: F.struct(k.cast("long").alias("block_no"), F.array_join(F.slice(tokens, s + 1, F.lit(block)), " ").alias("tokens"), F.array_join(F.slice(shifted, s + 1, size(s)), " ").alias("sources")))
 
 
-def masked_tokens(rows: DataFrame, key: str, share: float = 0.15) -> DataFrame:
-    """Masked prediction: a share of tokens is chosen; of these 80 % become ``[MASK]``, 10 % stay, 10 % take their own hash bucket's token."""
-    u, v = uniform(F.col(key), F.col("pos")), uniform(F.col("pos"), F.col(key) + 7)
-    return rows.where(u < share).select(key, "pos", F.col("token").alias("label"), F.when(v < 0.8, "[MASK]").when(v < 0.9, F.col("token")).otherwise("[RANDOM]").alias("shown"))
+def masked_tokens(rows: DataFrame, key: str, vocab: DataFrame, share: float = 0.15) -> DataFrame:
+    """Masked prediction: a share of tokens is chosen; of these 80 % become ``[MASK]``, 10 % stay, 10 % become the
+    symbol of the vocabulary (``idx, symbol`` numbered from the specials on) that a hash of their place names."""
+    u, v, w = uniform(F.col(key), F.col("pos")), uniform(F.col("pos"), F.col(key) + 7), uniform(F.col(key) + 3, F.col("pos"))
+    size = vocab.agg(F.count("*").alias("_size"))
+    chosen = rows.where(u < share).crossJoin(F.broadcast(size))  # one row
+    drawn = chosen.withColumn("_v", v).withColumn("_idx", F.when(F.col("_v") >= 0.9, F.floor(w * F.col("_size")) + len(SPECIALS)))
+    j = drawn.join(broadcast_if_small(vocab.select(F.col("idx").alias("_idx"), F.col("symbol").alias("_symbol"))), "_idx", "left")
+    return j.select(key, "pos", F.col("token").alias("label"), F.when(F.col("_v") < 0.8, "[MASK]").when(F.col("_v") < 0.9, F.col("token")).otherwise(F.col("_symbol")).alias("shown"))
 
 
 def padded(ids: Column, length: int, pad: int = 0) -> Column:
@@ -252,13 +283,13 @@ def packed(sizes: Column, most: int) -> Column:
     return F.aggregate(sizes, start, add, lambda acc: acc["out"])
 
 
-def next_sentence_pairs(sentences: DataFrame, key: str) -> DataFrame:
-    """``key, n, first, second, is_next``: each sentence (``key, n, sentence``) with its successor, or, by a hashed
-    coin, with the sentence two further on."""
-    w = Window.partitionBy(key).orderBy("n")
+def next_sentence_pairs(sentences: DataFrame, key: str, part: tuple[str, ...] = ()) -> DataFrame:
+    """``key, part, n, first, second, is_next``: each sentence (``key, part, n, sentence``) with its successor, or, by a
+    hashed coin, with the sentence two further on."""
+    w = Window.partitionBy(key, *part).orderBy("n")
     s = sentences.withColumn("_1", F.lead("sentence").over(w)).withColumn("_3", F.lead("sentence", 3).over(w))
     random = (uniform(F.col(key), F.col("n")) < 0.5) & F.col("_3").isNotNull()
-    return s.where(F.col("_1").isNotNull()).select(key, "n", F.col("sentence").alias("first"), F.when(random, F.col("_3")).otherwise(F.col("_1")).alias("second"), (~random).alias("is_next"))
+    return s.where(F.col("_1").isNotNull()).select(key, *part, "n", F.col("sentence").alias("first"), F.when(random, F.col("_3")).otherwise(F.col("_1")).alias("second"), (~random).alias("is_next"))
 
 
 def trimmed_pair(a: Column, b: Column, most: int) -> Column:

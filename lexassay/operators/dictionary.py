@@ -69,7 +69,7 @@ def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 3) -> DataF
     x = a.where(n > LONGEST - most).select("word", F.explode(F.sequence(n - most, n + most)).alias("n"))
     y = b.where(F.length("suggestion") > LONGEST - most).select("suggestion", F.length("suggestion").alias("n"))
     long = x.join(y, "n").where(F.greatest(F.length("word"), "n") > LONGEST).select("word", "suggestion")
-    near = short.union(long).distinct().withColumn("distance", F.levenshtein("word", "suggestion")).where(F.col("distance").between(1, most))
+    near = short.union(long).distinct().withColumn("distance", F.levenshtein("word", "suggestion", most)).where(F.col("distance").between(1, most))
     w = Window.partitionBy("word").orderBy("distance", "suggestion")
     return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

@@ -56,9 +56,9 @@ def choice_matches(questions: DataFrame) -> DataFrame:
 
 
 def judge_conflicts(questions: DataFrame) -> DataFrame:
-    """``row_id, truth``: single true-or-false answers by their words; ``none`` if neither or both appear."""
+    """``row_id, truth``: true-or-false answers by their words; ``none`` if neither or both appear."""
     q = F.col("query")
-    c = questions.where((q["type"] == JUDGE) & q["answers"].isNotNull() & (F.length(q["answers"]) <= 10))
+    c = questions.where((q["type"] == JUDGE) & q["answers"].isNotNull())
     has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: q["answers"].contains(w))
     t, f = has(TRUE_WORDS), has(FALSE_WORDS)
     return c.select("row_id", F.when(t & ~f, "true").when(f & ~t, "false").otherwise("none").alias("truth"))

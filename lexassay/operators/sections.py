@@ -32,8 +32,6 @@ def document_sections(documents: DataFrame) -> DataFrame:
 
 def legacy_view(questions: DataFrame) -> DataFrame:
     """The flat record of batch jobs: last received wins for each ``_id``; records without one are left out."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_id").orderBy(F.col("received_at").desc_nulls_last(), F.col("row_id").desc())
-    flat = questions.select(F.col("query._id").cast("bigint").alias("_id"), "row_id", "received_at", F.col("query.description").alias("question"), F.col("query.type").alias("type"), F.col("query.difficulty").alias("difficulty"))
-    return flat.where(F.col("_id").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "received_at")
+    flat = questions.select(F.col("query._id").cast("bigint").alias("_id"), F.struct("received_at", "row_id").alias("_at"), F.struct("row_id", F.col("query.description").alias("question"), F.col("query.type").alias("type"), F.col("query.difficulty").alias("difficulty")).alias("r"))
+    # the latest record of a partition is chosen before the exchange
+    return flat.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.max_by("r", "_at").alias("r")).select("_id", "r.*")

@@ -86,19 +86,34 @@ def similar_candidates(texts: DataFrame, candidate: str, key: str, text: str, ra
     """Of texts with the same ``candidate`` key the pairs with ``2 * distance / (length + length) <= ratio``.
 
     The candidate key is given with the data (the id a question was sent under, say); no pair that shares it
-    is lost.  Equal texts are one class: pairs are between class representatives (least id), so copies are
-    not expanded, and a key that repeats one text many times is one row before the join; ``near_members``
-    gives the membership.  Null keys and null texts are no candidates.
+    is lost.  Equal texts are one class, named by the least id of all rows that have the text, as in
+    ``near_members``: pairs are between classes, so copies are not expanded, and a key that repeats one text
+    many times is one row before the join.  Classes are found by digest; texts travel only as representatives.
+    Null keys and null texts are no candidates.
     """
-    reps = texts.where(F.col(candidate).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(candidate).alias("c"), F.col(text).alias("t")).agg(F.min(key).alias("id"))
-    r = reps.withColumn("n", F.length("t"))
-    a, b = r.alias("a"), r.alias("b")
+    rows = texts.where(F.col(candidate).isNotNull() & F.col(text).isNotNull()).select(F.col(candidate).alias("c"), digest(F.col(text)).alias("d"), F.col(text).alias("t"))
+    reps = rows.groupBy("c", "d").agg(F.first("t").alias("t")).join(classes(texts, key, text), "d").select("c", F.col("class_id").alias("id"), "t", F.length("t").alias("n"))
+    a, b = reps.alias("a"), reps.alias("b")
     bound = (F.col("a.n") + F.col("b.n")) * ratio / 2
     close = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.id") < F.col("b.id")) & (F.abs(F.col("a.n") - F.col("b.n")) <= bound))
-    return close.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.levenshtein(F.col("a.t"), F.col("b.t")).alias("distance"), bound.alias("bound")).where("distance <= bound").select("id_a", "id_b", "distance")
+    once = close.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).agg(F.first("a.t").alias("x"), F.first("b.t").alias("y"))
+    once = once.withColumn("most", F.floor((F.length("x") + F.length("y")) * ratio / 2).cast("int"))
+    # -1 beyond the pair's own bound, where the distance is not computed further
+    return once.withColumn("distance", F.expr("levenshtein(x, y, most)")).where("distance >= 0").select("id_a", "id_b", "distance")
+
+
+def digest(text: Column) -> Column:
+    """What stands for a text in groupings and joins."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def classes(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``d, class_id``: of each different text its digest and least id."""
+    return texts.where(F.col(text).isNotNull()).groupBy(digest(F.col(text)).alias("d")).agg(F.min(key).alias("class_id"))
 
 
 def near_members(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, class_id``: the least id with the same text."""
-    reps = texts.groupBy(F.col(text)).agg(F.min(key).alias("class_id"))
-    return texts.select(key, text).join(reps, text).select(key, "class_id")
+    """``key, class_id``: the least id with the same text.  Only digests are shuffled; a text that a third of all
+    rows share is one row of the classes, and its members are split over tasks by the adaptive skew join."""
+    members = texts.where(F.col(text).isNotNull()).select(key, digest(F.col(text)).alias("d"))
+    return members.join(classes(texts, key, text), "d").select(key, "class_id")

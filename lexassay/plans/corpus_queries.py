@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexassay.functions import latex
+from lexassay.functions import dims, latex
+from lexassay.functions.lineage import broadcast_if_small
 from lexassay.operators import cleaning, corpus, dictionary, edits, records, rules, scorers, similarity, tokenizing
 from lexassay.operators.sections import question_sections
 from lexassay.sources.tables import table
 
+from . import text_queries
 from .registry import query
 
 TOKENS = "list_transform(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[一-鿿]'), lambda x: lower(x))"
@@ -23,6 +25,11 @@ def _rows(spark, folder) -> DataFrame:
     return corpus.token_rows(table(spark, folder, "documents").where(F.col("text").isNotNull()), "doc_id", cleaning.tokens(F.col("text")))
 
 
+def _tokens(spark, folder) -> DataFrame:
+    """Documents with their token arrays."""
+    return table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", cleaning.tokens(F.col("text")).alias("t"))
+
+
 def _item_rows(spark, folder) -> DataFrame:
     return corpus.token_rows(table(spark, folder, "eval_items").where(F.col("text").isNotNull()), "item_id", cleaning.tokens(F.col("text")))
 
@@ -56,8 +63,7 @@ def vocab_union(spark, folder):
 @query(_VOCAB + """, e AS (SELECT doc_id, list(coalesce(idx, 2) ORDER BY pos) AS ids FROM r LEFT JOIN k ON r.token = k.symbol GROUP BY doc_id)
 SELECT doc_id, len(ids) + 1 AS n, md5(array_to_string(list_append(ids, 1), ',')) AS digest FROM e""")
 def encode_lines(spark, folder):
-    rows = _rows(spark, folder)
-    ids = corpus.encoded(rows, corpus.vocabulary(rows, threshold=2), "doc_id")
+    ids = corpus.encoded(_tokens(spark, folder).where(F.size("t") > 0), "doc_id", "t", corpus.vocabulary(_rows(spark, folder), threshold=2))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
@@ -72,13 +78,12 @@ def stopword_anti(spark, folder):
 @query(f"""WITH {ROWS}, g AS (SELECT doc_id, t[i] || ' ' || t[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(t))) AS i FROM l)), ig AS (SELECT DISTINCT t[i] || ' ' || t[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(t))) AS i FROM (SELECT {TOKENS} AS t FROM eval_items)))
 SELECT doc_id, count(*) AS shared FROM (SELECT DISTINCT doc_id, gram FROM g) JOIN ig USING (gram) GROUP BY doc_id""")
 def ngram_overlap(spark, folder):
-    def pairs(t):
-        return F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat(F.element_at(t, i), F.lit(" "), F.element_at(t, i + 1)))
-
-    d = table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", cleaning.tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
+    d = _tokens(spark, folder).where(F.size("t") > 1)
     i = table(spark, folder, "eval_items").where(F.col("text").isNotNull()).select(cleaning.tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
-    grams = d.select("doc_id", F.explode(F.array_distinct(pairs(F.col("t")))).alias("gram"))
-    return grams.join(i.select(F.explode(pairs(F.col("t"))).alias("gram")).distinct(), "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    # the items' n-grams are broadcast while few: then a document's are filtered and counted where they are
+    known = broadcast_if_small(i.select(F.explode(corpus.ngrams(F.col("t"), 2)).alias("gram")).distinct(), 1_000_000)
+    grams = d.select("doc_id", F.explode(F.array_distinct(corpus.ngrams(F.col("t"), 2))).alias("gram"))
+    return grams.join(known, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
 
 
 def _bleu_sql() -> str:
@@ -116,24 +121,25 @@ def _chunk_sql(col: str) -> str:
 
 
 def _tags(spark, folder) -> DataFrame:
+    """Documents with two arrays of tags."""
     w = F.regexp_extract_all("text", F.lit("([A-Za-z]+|[0-9]+|[一-鿿])"), F.lit(1))
-    r = table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", F.posexplode(w).alias("pos", "w"))
-    gold = F.when(F.col("w").rlike("^[0-9]+$"), "I-MISC").when(F.col("w").rlike("^[A-Z][a-z]+$"), "I-PER").otherwise("O")
-    hyp = F.when(F.col("w").rlike("^[0-9]{2,}$"), "B-MISC").when(F.col("w").rlike("^[A-Z][a-z]{3,}$"), "I-PER").otherwise("O")
-    return r.select("doc_id", "pos", gold.alias("tag"), hyp.alias("hyp"))
+    gold = F.transform("w", lambda w: F.when(w.rlike("^[0-9]+$"), "I-MISC").when(w.rlike("^[A-Z][a-z]+$"), "I-PER").otherwise("O"))
+    hyp = F.transform("w", lambda w: F.when(w.rlike("^[0-9]{2,}$"), "B-MISC").when(w.rlike("^[A-Z][a-z]{3,}$"), "I-PER").otherwise("O"))
+    return table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", w.alias("w")).select("doc_id", gold.alias("tag"), hyp.alias("hyp"))
 
 
 @query(f"""WITH {_TAGS}, a AS {_chunk_sql("tag")}, b AS {_chunk_sql("hyp")},
 c AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS correct, (SELECT count(*) FROM a) AS gold, (SELECT count(*) FROM b) AS predicted)
 SELECT correct, gold, predicted, round(correct / predicted, 6) AS precision, round(correct / gold, 6) AS recall, round(2 * (correct / predicted) * (correct / gold) / (correct / predicted + correct / gold), 6) AS f1 FROM c""")
 def chunk_f1(spark, folder):
-    t = _tags(spark, folder)
-    return corpus.chunk_scores(corpus.chunks(t.select("doc_id", "pos", "tag"), "doc_id"), corpus.chunks(t.select("doc_id", "pos", F.col("hyp").alias("tag")), "doc_id"), "doc_id")
+    return corpus.chunk_scores(F.col("tag"), F.col("hyp"), _tags(spark, folder))
 
 
 @query(f"WITH {_TAGS} SELECT count(*) AS tokens, round(avg((tag = hyp)::INT), 6) AS accuracy FROM g")
 def token_accuracy(spark, folder):
-    return _tags(spark, folder).agg(F.count("*").alias("tokens"), F.round(F.avg((F.col("tag") == F.col("hyp")).cast("int")), 6).alias("accuracy"))
+    equal = F.size(F.filter(F.arrays_zip("tag", "hyp"), lambda z: z["tag"] == z["hyp"]))
+    s = _tags(spark, folder).agg(F.sum(F.size("tag")).alias("tokens"), F.sum(equal).alias("equal"))
+    return s.select("tokens", F.round(F.col("equal") / F.col("tokens"), 6).alias("accuracy"))
 
 
 @query(f"""WITH {ROWS}, {ITEM_ROWS}, w AS (SELECT DISTINCT token AS word FROM r WHERE regexp_matches(token, '^[a-z]+$')), v AS (SELECT DISTINCT token AS word FROM ir WHERE regexp_matches(token, '^[a-z]+$'))
@@ -147,11 +153,11 @@ def dict_cascade(spark, folder):
     return dictionary.cascade(words, _item_rows(spark, folder).where(latin).select(F.col("token").alias("word")).distinct())
 
 
-@query(f"""WITH {ROWS}, {ITEM_ROWS}, v AS (SELECT DISTINCT token AS s FROM ir WHERE regexp_matches(token, '^[a-z]{{2,32}}$')), w AS (SELECT DISTINCT token AS word FROM r WHERE regexp_matches(token, '^[a-z]{{2,32}}$') AND token NOT IN (SELECT s FROM v)),
+@query(f"""WITH {ROWS}, {ITEM_ROWS}, v AS (SELECT DISTINCT token AS s FROM ir WHERE regexp_matches(token, '^[a-z]+$')), w AS (SELECT DISTINCT token AS word FROM r WHERE regexp_matches(token, '^[a-z]+$') AND token NOT IN (SELECT s FROM v)),
 d AS (SELECT word, s, levenshtein(word, s) AS d FROM w, v WHERE abs(length(word) - length(s)) <= 2)
 SELECT word, s AS suggestion, d::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, s) AS n FROM d WHERE d <= 2) WHERE n = 1""")
 def spell_suggest_top1(spark, folder):
-    latin = F.col("token").rlike("^[a-z]{2,32}$")
+    latin = F.col("token").rlike("^[a-z]+$")
     v = _item_rows(spark, folder).where(latin).select(F.col("token").alias("word")).distinct()
     w = _rows(spark, folder).where(latin).select(F.col("token").alias("word")).distinct().join(v, "word", "left_anti")
     return dictionary.suggestions(w, v, 2)
@@ -171,8 +177,8 @@ def _candidate_texts(spark, folder) -> DataFrame:
     return table(spark, folder, "questions").select("row_id", F.col("query._id").alias("_id"), F.col("query.description").alias("text"))
 
 
-def _short_texts(spark, folder) -> DataFrame:
-    return table(spark, folder, "questions").select("row_id", F.col("query.description").alias("text")).where("length(text) >= 20")
+def _described(spark, folder) -> DataFrame:
+    return table(spark, folder, "questions").select("row_id", F.col("query.description").alias("text")).where("text is not null")
 
 
 # DuckDB measures distances in bytes: tested against brute force instead.
@@ -181,9 +187,9 @@ def near_dup_pairs(spark, folder):
     return similarity.similar_candidates(_candidate_texts(spark, folder), "_id", "row_id", "text")
 
 
-@query("SELECT row_id, min(row_id) OVER (PARTITION BY query.description) AS class_id FROM questions WHERE length(query.description) >= 20")
+@query("SELECT row_id, min(row_id) OVER (PARTITION BY query.description) AS class_id FROM questions WHERE query.description IS NOT NULL")
 def near_dup_members(spark, folder):
-    return similarity.near_members(_short_texts(spark, folder), "row_id", "text")
+    return similarity.near_members(_described(spark, folder), "row_id", "text")
 
 
 # Shapes and sounds of a few characters, given with the query.
@@ -226,7 +232,7 @@ def answer_match_choice(spark, folder):
     return records.choice_matches(table(spark, folder, "questions"))
 
 
-@query("""WITH c AS (SELECT row_id, query.answers AS a FROM questions WHERE query.type = '判断题' AND length(query.answers) <= 10),
+@query("""WITH c AS (SELECT row_id, query.answers AS a FROM questions WHERE query.type = '判断题' AND query.answers IS NOT NULL),
 x AS (SELECT row_id, len(list_filter(['正确', '对', '√', 'T', 'true'], lambda w: contains(a, w))) > 0 AS t, len(list_filter(['错误', '错', '×', 'F', 'false'], lambda w: contains(a, w))) > 0 AS f FROM c)
 SELECT row_id, CASE WHEN t AND NOT f THEN 'true' WHEN f AND NOT t THEN 'false' ELSE 'none' END AS truth FROM x""")
 def judge_match(spark, folder):
@@ -295,28 +301,38 @@ def m2_apply(spark, folder):
     return p.select("item_id", F.md5(F.array_join(edits.applied(F.col("a"), F.col("e")), " ")).alias("digest"))
 
 
-@query()
+# The edits of these pairs in SQL: maximal runs of changed words.
+_EDITS = f"""p AS ({_PAIR}), w AS (SELECT item_id, a, i - 1 AS z, a[i] AS x, CASE WHEN (i - 1) % 11 = 3 THEN '' WHEN (i - 1) % 7 = 2 THEN a[i] || 'x' END AS y FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM p)),
+c AS (SELECT *, z - row_number() OVER (PARTITION BY item_id ORDER BY z) AS run FROM w WHERE y IS NOT NULL),
+g AS (SELECT item_id, any_value(a) AS a, min(z)::INT AS start, (max(z) + 1)::INT AS stop, string_agg(x, ' ' ORDER BY z) AS old, coalesce(string_agg(nullif(y, ''), ' ' ORDER BY z), '') AS cor FROM c GROUP BY item_id, run),
+e AS (SELECT item_id, a, start, stop, cor, CASE WHEN cor = '' THEN CASE WHEN regexp_matches(old, '^[^\\p{{L}}\\p{{N}}]+$') THEN 'U:PUNCT' ELSE 'U:OTHER' END WHEN stop = start + 1 AND regexp_matches(old, '^\\p{{L}}+$') THEN 'R:SPELL' ELSE 'R:OTHER' END AS type, old FROM g),
+n AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY start) - 1)::INT AS n FROM e)"""
+
+
+def _edit_rows(spark, folder) -> DataFrame:
+    return _pairs(spark, folder).withColumn("e", edits.token_edits("a", "b"))
+
+
+@query(f'WITH {_EDITS} SELECT item_id, n, start, stop AS "end", type, cor FROM n')
 def token_align(spark, folder):
-    return _pairs(spark, folder).select("item_id", F.posexplode(edits.token_edits("a", "b")).alias("n", "e")).select("item_id", "n", "e.*")
+    return _edit_rows(spark, folder).select("item_id", F.posexplode("e").alias("n", "e")).select("item_id", "n", "e.*")
 
 
-@query()
+@query(f'WITH {_EDITS} SELECT item_id, len(a)::INT AS tokens, n, start, stop AS "end", type, cor, 0 AS coder FROM n')
 def m2_parse(spark, folder):
-    p = _pairs(spark, folder)
-    m = p.select("item_id", edits.parsed_m2(edits.m2_text(F.col("a"), edits.token_edits("a", "b"))).alias("m"))
+    m = _edit_rows(spark, folder).select("item_id", edits.parsed_m2(edits.m2_text(F.col("a"), F.col("e"))).alias("m"))
     return m.select("item_id", F.size("m.tokens").alias("tokens"), F.posexplode("m.edits").alias("n", "e")).select("item_id", "tokens", "n", "e.*")
 
 
-@query()
+@query(f"""WITH {_EDITS} SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY start) - 1)::INT AS n, start, stop AS "end", type, cor FROM e WHERE type <> 'R:SPELL'""")
 def m2_filter(spark, folder):
-    e = _pairs(spark, folder).select("item_id", F.filter(edits.token_edits("a", "b"), lambda x: x["type"] != "R:SPELL").alias("e"))
+    e = _edit_rows(spark, folder).select("item_id", F.filter("e", lambda x: x["type"] != "R:SPELL").alias("e"))
     return e.select("item_id", F.posexplode("e").alias("n", "e")).select("item_id", "n", "e.*")
 
 
-@query()
+@query(f"""WITH {_EDITS} SELECT item_id, n, (length(array_to_string(a[1:start], ' ')) + (start > 0)::INT)::INT AS start_at, (length(array_to_string(a[1:start], ' ')) + (start > 0)::INT + length(old))::INT AS end_at, type, cor FROM n""")
 def edit_positions(spark, folder):
-    p = _pairs(spark, folder).withColumn("e", edits.token_edits("a", "b"))
-    return p.select("item_id", F.posexplode(edits.character_spans(F.col("a"), F.col("e"))).alias("n", "s")).select("item_id", "n", "s.*")
+    return _edit_rows(spark, folder).select("item_id", F.posexplode(edits.character_spans(F.col("a"), F.col("e"))).alias("n", "s")).select("item_id", "n", "s.*")
 
 
 @query("""WITH e AS (SELECT doc_id, least(length(text) % 6, 4) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, n::INT AS n, unnest(range(0, (2 ** n)::BIGINT))::INT AS mask FROM e WHERE n > 0""")
@@ -343,13 +359,17 @@ def word_dropout(spark, folder):
 
 @query(f"WITH {ROWS}, s AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN pos = 0 THEN -1.0 ELSE pos + 3 * ({_uniform_sql('doc_id', 'pos')}) END, pos) - 1 AS new_pos FROM r) SELECT doc_id, sum(abs(new_pos - pos))::BIGINT AS moved, sum(new_pos * pos)::BIGINT AS product FROM s GROUP BY doc_id")
 def local_shuffle(spark, folder):
-    s = corpus.shuffled_words(_rows(spark, folder), "doc_id", 3)
-    return s.groupBy("doc_id").agg(F.sum(F.abs(F.col("new_pos") - F.col("pos"))).alias("moved"), F.sum(F.col("new_pos").cast("long") * F.col("pos")).alias("product"))
+    s = _tokens(spark, folder).where(F.size("t") > 0).select("doc_id", corpus.shuffled_words(F.col("doc_id"), F.col("t"), 3).alias("s"))
+    total = lambda f: F.aggregate(F.transform("s", f), F.lit(0).cast("long"), lambda a, x: a + x)
+    return s.select("doc_id", total(lambda x, i: F.abs(i - x["pos"]).cast("long")).alias("moved"), total(lambda x, i: i.cast("long") * x["pos"]).alias("product"))
 
 
-@query(f"WITH {ROWS} SELECT doc_id, pos::INT AS pos, token AS label, CASE WHEN v < 0.8 THEN '[MASK]' WHEN v < 0.9 THEN token ELSE '[RANDOM]' END AS shown FROM (SELECT *, {_uniform_sql('doc_id', 'pos')} AS u, {_uniform_sql('pos', '(doc_id + 7)')} AS v FROM r) WHERE u < 0.15")
+@query(_VOCAB + f""", m AS (SELECT doc_id, pos::INT AS pos, token, v, CASE WHEN v >= 0.9 THEN floor(w * (SELECT count(*) FROM k))::BIGINT + 3 END AS j FROM (SELECT *, {_uniform_sql('doc_id', 'pos')} AS u, {_uniform_sql('pos', '(doc_id + 7)')} AS v, {_uniform_sql('(doc_id + 3)', 'pos')} AS w FROM r) WHERE u < 0.15)
+SELECT doc_id, pos, token AS label, CASE WHEN v < 0.8 THEN '[MASK]' WHEN v < 0.9 THEN token ELSE k.symbol END AS shown FROM m LEFT JOIN k ON k.idx = m.j""")
 def masked_tokens(spark, folder):
-    return corpus.masked_tokens(_rows(spark, folder), "doc_id")
+    rows = _rows(spark, folder)
+    vocab = corpus.vocabulary(rows, threshold=2, multiple=1).where(F.col("n") > 0)
+    return corpus.masked_tokens(rows, "doc_id", vocab)
 
 
 @query("SELECT (doc_id % 7)::INT AS shard, count(*) AS n, sum(n_chars)::BIGINT AS characters FROM documents GROUP BY ALL")
@@ -392,7 +412,7 @@ def length_batches(spark, folder):
 
 @query(f"WITH {ROWS}, s AS (SELECT doc_id, pos, token, coalesce(lag(token) OVER (PARTITION BY doc_id ORDER BY pos), '</s>') AS src FROM r) SELECT doc_id, (pos // 64)::BIGINT AS block_no, string_agg(token, ' ' ORDER BY pos) AS tokens, string_agg(src, ' ' ORDER BY pos) AS sources FROM s GROUP BY ALL")
 def token_blocks(spark, folder):
-    return corpus.blocks(_rows(spark, folder), "doc_id", 64)
+    return _tokens(spark, folder).select("doc_id", F.explode(corpus.blocks(F.col("t"), 64)).alias("b")).select("doc_id", "b.*")
 
 
 _CONFUSION = """w AS (SELECT q1.description AS a, q2.description AS b FROM (SELECT row_id, query.description, query._id FROM questions) q1 JOIN (SELECT row_id, query.description, query._id FROM questions) q2 ON q1._id = q2._id AND q1.row_id < q2.row_id AND length(q1.description) = length(q2.description) AND q1.description <> q2.description),
@@ -402,7 +422,8 @@ c AS (SELECT substr(a, i, 1) AS wrong, substr(b, i, 1) AS correct FROM (SELECT *
 def _confusions(spark, folder) -> DataFrame:
     q = table(spark, folder, "questions").select("row_id", F.col("query._id").alias("_id"), F.col("query.description").alias("t")).where("_id is not null and t is not null")
     a, b = q.alias("a"), q.alias("b")
-    j = a.join(b, (F.col("a._id") == F.col("b._id")) & (F.col("a.row_id") < F.col("b.row_id")) & (F.length("a.t") == F.length("b.t")) & (F.col("a.t") != F.col("b.t")))
+    # the length is a key of the join: texts of one id spread over their lengths
+    j = a.join(b, (F.col("a._id") == F.col("b._id")) & (F.length("a.t") == F.length("b.t")) & (F.col("a.row_id") < F.col("b.row_id")) & (F.col("a.t") != F.col("b.t")))
     z = F.arrays_zip(F.split("a.t", "").alias("wrong"), F.split("b.t", "").alias("correct"))
     return j.select(F.explode(z).alias("z")).select("z.wrong", "z.correct")
 
@@ -430,7 +451,7 @@ def trad_simp(spark, folder):
     return table(spark, folder, "documents").where(t.rlike(f"[{''.join(_TRAD)}]")).select("doc_id", F.size(F.regexp_extract_all(t, F.lit(f"([{''.join(_TRAD)}])"), F.lit(1))).alias("n"), F.md5(dictionary.converted(t, _TRAD)).alias("digest"))
 
 
-@query()
+@query(f"WITH {ROWS} SELECT DISTINCT token FROM r WHERE regexp_full_match(token, '(?:{'|'.join(sorted(dims.pinyin_syllables(), key=len, reverse=True))})+')")
 def pinyin_words(spark, folder):
     w = _rows(spark, folder).where(F.col("token").rlike("^[a-z]+$")).select("token").distinct()
     return w.where(dictionary.is_pinyin(F.col("token")))
@@ -510,9 +531,9 @@ def word_pieces(spark, folder):
     return p.select("doc_id", F.size("p").alias("n"), F.size(F.filter("p", lambda x: x == "[UNK]")).alias("unknown"))
 
 
-@query()
+@query(f"""WITH {_EDITS} SELECT item_id, n, CASE WHEN cor = '' THEN 'delete ' || old ELSE 'replace ' || old || ' with ' || cor END AS message FROM n""")
 def edit_messages(spark, folder):
-    p = _pairs(spark, folder).withColumn("e", edits.token_edits("a", "b"))
+    p = _edit_rows(spark, folder)
     return p.select("item_id", F.posexplode(edits.messages(F.col("a"), F.col("e"))).alias("n", "message"))
 
 
@@ -526,13 +547,18 @@ def route_subjects(spark, folder):
     return table(spark, folder, "questions").groupBy(records.checker_of(F.col("subject")).alias("checker")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH a AS (SELECT row_id, query.answers AS a, CASE WHEN starts_with(trim(query.answers), '[') AND json_valid(query.answers) THEN query.answers::JSON END AS j FROM questions WHERE query.answers IS NOT NULL),
+i AS (SELECT row_id, i, j->i::BIGINT AS x FROM (SELECT *, unnest(range(json_array_length(j)::BIGINT))::INT AS i FROM a WHERE j IS NOT NULL))
+SELECT row_id, 0 AS i, 0 AS j, a AS value FROM a WHERE j IS NULL
+UNION ALL SELECT row_id, i, 0, x->>'$' FROM i WHERE json_type(x) <> 'ARRAY'
+UNION ALL SELECT row_id, i, k, x->>k::BIGINT FROM (SELECT *, unnest(range(json_array_length(x)::BIGINT))::INT AS k FROM i WHERE json_type(x) = 'ARRAY')""")
 def answers_variant(spark, folder):
     a = records.canonical_answers(F.col("query.answers"))
     return table(spark, folder, "questions").select("row_id", F.posexplode(a).alias("i", "x")).select("row_id", "i", F.posexplode("x").alias("j", "value"))
 
 
-@query()
+@query(f"""{text_queries._SENTENCES}, w AS (SELECT *, lead(sentence) OVER o AS s1, lead(sentence, 3) OVER o AS s3, {_uniform_sql("row_id", "n")} AS u FROM x WINDOW o AS (PARTITION BY row_id, section, item ORDER BY n))
+SELECT row_id, section, item, n, sentence AS first, CASE WHEN u < 0.5 AND s3 IS NOT NULL THEN s3 ELSE s1 END AS second, NOT (u < 0.5 AND s3 IS NOT NULL) AS is_next FROM w WHERE s1 IS NOT NULL""")
 def next_sentences(spark, folder):
-    s = cleaning.marked_sentences(question_sections(table(spark, folder, "questions"))).where("section = 'description'")
-    return corpus.next_sentence_pairs(s.select("row_id", "n", "sentence"), "row_id")
+    s = cleaning.marked_sentences(question_sections(table(spark, folder, "questions")))
+    return corpus.next_sentence_pairs(s.select("row_id", "section", "item", "n", "sentence"), "row_id", ("section", "item"))

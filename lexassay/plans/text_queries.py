@@ -22,12 +22,22 @@ s AS (SELECT * FROM sections WHERE text IS NOT NULL)"""
 CHARS = "ch AS (SELECT row_id, section, item, i - 1 AS pos, substr(text, i, 1) AS ch, text FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM s))"
 
 
+# Texts with what the tables do not hold, for rules that would else be compared on no rows.
+PLANTED = ["see www. example and www .site", "a++b, c^^2 and 50%%", "${(a+b}$, ${[x]]}$ and ${a^^2}$", "${y= 2x}$", "the the ferry was was lost", "fine"]
+PLANTED_SECTIONS = SECTIONS.rsplit("s AS (", 1)[0] + "s AS (SELECT * FROM sections WHERE text IS NOT NULL UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i}, 'planted', 0, '{t}')" for i, t in enumerate(PLANTED, 1)) + ") p(row_id, section, item, text))"
+
+
 def _sections(spark, folder) -> DataFrame:
     return question_sections(table(spark, folder, "questions"))
 
 
-def _first_place(pattern: str, rule: str, keep: str = "true", text: str = "text", target: str = "''") -> str:
-    return f"""WITH {SECTIONS}, m AS (SELECT DISTINCT row_id, section, item, {text} AS text, unnest(list_distinct(regexp_extract_all({text}, '{pattern}'))) AS run FROM s)
+def _planted(spark, sections: DataFrame) -> DataFrame:
+    rows = spark.createDataFrame([(-i, "planted", 0, t) for i, t in enumerate(PLANTED, 1)], "row_id long, section string, item int, text string")
+    return sections.select("row_id", "section", "item", "text").unionByName(rows)
+
+
+def _first_place(pattern: str, rule: str, keep: str = "true", text: str = "text", target: str = "''", sections: str = SECTIONS) -> str:
+    return f"""WITH {sections}, m AS (SELECT DISTINCT row_id, section, item, {text} AS text, unnest(list_distinct(regexp_extract_all({text}, '{pattern}'))) AS run FROM s)
 SELECT row_id, section, '{rule}' AS rule, item, (instr(text, run) - 1)::INT AS start_at, (instr(text, run) - 1 + length(run))::INT AS end_at, run AS source, {target} AS target FROM m WHERE {keep}"""
 
 
@@ -79,14 +89,14 @@ def zh_punct_in_latin(spark, folder):
 WEB_SQL = _first_place(r"www(?:\. | \.)[A-Za-z0-9]+", "web address", target="replace(run, ' ', '')")
 
 
-@query(WEB_SQL)
+@query(_first_place(r"www(?:\. | \.)[A-Za-z0-9]+", "web address", target="replace(run, ' ', '')", sections=PLANTED_SECTIONS))
 def url_format(spark, folder):
-    return rules.web_addresses(_sections(spark, folder))
+    return rules.web_addresses(_planted(spark, _sections(spark, folder)))
 
 
-@query(_first_place(r"\^\^|\+\+|%%|@@|&&|\*\*|\$\$", "repeated sign"))
+@query(_first_place(r"\^\^|\+\+|%%|@@|&&|\*\*|\$\$", "repeated sign", sections=PLANTED_SECTIONS))
 def latex_repeat(spark, folder):
-    return rules.repeated_formula_signs(_sections(spark, folder))
+    return rules.repeated_formula_signs(_planted(spark, _sections(spark, folder)))
 
 
 @query(f"""WITH {SECTIONS}, f AS (SELECT row_id, section, item, regexp_extract_all(text, '\\$\\{{(.*?)\\}}\\$', 1) AS f FROM s)
@@ -98,11 +108,11 @@ def latex_extract(spark, folder):
 _COUNT = "length(formula) - length(replace(formula, '{}', ''))"
 
 
-@query(f"""WITH {SECTIONS}, g AS (SELECT row_id, section, item, regexp_extract_all(text, '\\$\\{{(.*?)\\}}\\$', 1) AS f FROM s),
+@query(f"""WITH {PLANTED_SECTIONS}, g AS (SELECT row_id, section, item, regexp_extract_all(text, '\\$\\{{(.*?)\\}}\\$', 1) AS f FROM s),
 f AS (SELECT row_id, section, item, (i - 1)::INT AS n, f[i] AS formula FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM g))
 """ + " UNION ALL ".join([f"SELECT row_id, section, item, n, 'unpaired {a}{b}' AS problem FROM f WHERE {_COUNT.format(a)} <> {_COUNT.format(b)}" for a, b in (("(", ")"), ("[", "]"), ("{", "}"))] + [f"SELECT row_id, section, item, n, 'illegal sign' FROM f WHERE regexp_matches(formula, '{rules.ILLEGAL_IN_FORMULA}')", r"SELECT row_id, section, item, n, 'repeated sign' FROM f WHERE regexp_matches(formula, '\^\^|\+\+|%%|@@|&&|\*\*|\$\$')"]))
 def latex_pairs(spark, folder):
-    return rules.formula_checks(_sections(spark, folder))
+    return rules.formula_checks(_planted(spark, _sections(spark, folder)))
 
 
 @query(f"""WITH {SECTIONS}, t AS (SELECT row_id, section, item, regexp_replace(text, '\\$\\{{[^$]*\\}}\\$', '@', 'g') AS t FROM s),
@@ -128,10 +138,11 @@ def tex_rules_views(spark, folder):
     return rules.tex_writing_rules(document_sections(table(spark, folder, "documents")))
 
 
-@query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z \t\n]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL)
+@query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z \t\n]+'), lambda x: lower(x)) AS w FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"({-i}, '{t}')" for i, t in enumerate(PLANTED, 1)) + """) p(doc_id, text)))
 SELECT doc_id AS row_id, 'text' AS section, 0 AS item, (i - 1)::INT AS pos, w[i] AS word FROM (SELECT *, unnest(range(2, len(w) + 1)) AS i FROM w) WHERE w[i] = w[i - 1] AND regexp_matches(w[i], '^[a-z]{2,}$')""")
 def repeated_words(spark, folder):
-    return rules.repeated_words(document_sections(table(spark, folder, "documents")))
+    docs = document_sections(table(spark, folder, "documents"))
+    return rules.repeated_words(_planted(spark, docs).withColumn("section", F.lit("text")))
 
 
 @query("""SELECT * FROM (SELECT doc_id AS row_id, 'text' AS section, 0 AS item, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ -~\t]')))::INT AS n_lines FROM documents WHERE text IS NOT NULL) WHERE n_lines > 0""")

@@ -290,14 +290,18 @@ def test_ranks_and_vocabulary(spark):
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate("b a b c c b".split())], "doc_id long, pos int, token string")
     v = {r["symbol"]: (r["idx"], r["n"]) for r in corpus.vocabulary(rows).collect()}
     assert v["b"] == (3, 3) and v["c"] == (4, 2) and v["a"] == (5, 1) and len(v) == 8
-    ids = corpus.encoded(rows, corpus.vocabulary(rows, threshold=2), "doc_id").first()["ids"]
-    assert ids == [3, 2, 3, 4, 4, 3, 1]
+    docs = spark.createDataFrame([(1, "b a b c c b".split()), (2, []), (3, None), (4, ["zz", "c"])], "doc_id long, t array<string>")
+    want = {1: [3, 2, 3, 4, 4, 3, 1], 2: [1], 3: None, 4: [2, 4, 1]}
+    for looked_up in (corpus.LOOKED_UP, 4, 0):
+        assert {r["doc_id"]: r["ids"] for r in corpus.encoded(docs, "doc_id", "t", corpus.vocabulary(rows, threshold=2), looked_up).collect()} == want
     assert corpus.vocabulary(rows.limit(0)).count() == 8
 
 
 def test_chunks(spark):
-    t = spark.createDataFrame([(1, i, x) for i, x in enumerate(["B-PER", "I-PER", "O", "B-LOC"])], "s long, pos int, tag string")
-    assert sorted((r["kind"], r["start_at"], r["end_at"]) for r in corpus.chunks(t, "s").collect()) == [("LOC", 3, 4), ("PER", 0, 2)]
+    tags = [["B-PER", "I-PER", "O", "B-LOC"], ["I-LOC", "I-LOC", "I-PER", "B-PER"], ["O"], [], None]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(tags)], "s int, tags array<string>")
+    got = {r["s"]: None if r["c"] is None else [tuple(x) for x in r["c"]] for r in t.select("s", corpus.chunks(F.col("tags")).alias("c")).collect()}
+    assert got == {0: [("PER", 0, 2), ("LOC", 3, 4)], 1: [("LOC", 0, 2), ("PER", 2, 3), ("PER", 3, 4)], 2: [], 3: [], 4: None}
 
 
 def test_batches_keep_their_bounds(spark):
